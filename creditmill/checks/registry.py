@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from creditmill.functions.names import col
+from creditmill.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +38,7 @@ def query(name: str, sql: str | None = None, singles: Sequence[str] = ()) -> Cal
             raise ValueError(f"{name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return single(function(spark, sf_dir), singles)
+            return single(function(tune(spark), sf_dir), singles)
 
         QUERIES[name] = run
         if sql is not None:

@@ -1,7 +1,7 @@
 """Declarative roll-ups: one specification, one ``groupBy().agg()``, one shuffle.
 
 Subsets (for example only approved applications) are conditional aggregates of the same pass, so no
-second scan and no join is needed. All aggregates combine on the map side, which is also what keeps a
+second scan and no join is needed. All aggregates combine partial results, which is also what keeps a
 single very large client harmless.
 """
 
@@ -10,40 +10,40 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.functions.missing import nan_to_null
 from creditmill.functions.names import aggregate_name, col
 
 MISSING_SHARE = "nan"  # fixed value: name of the share of missing categories
 
 
-def _statistic(stat: str, value: Column, member: Column | None) -> Column:
-    """One statistic over the rows where ``member`` holds (all rows when it is None)."""
-    kept = value if member is None else F.when(member, value)
-    if stat == "min":
-        out = F.min(kept)
-    elif stat == "max":
-        out = F.max(kept)
-    elif stat == "mean":
-        out = nan_to_null(F.avg(kept.cast("double")))
-    elif stat == "var":
-        out = nan_to_null(F.var_samp(kept.cast("double")))
-    elif stat == "sum":
-        # all-missing sums to 0, but only for a client that has rows in the subset
-        out = F.coalesce(F.sum(kept.cast("double")), F.lit(0.0))
-        if member is not None:
-            out = F.when(F.count_if(member) > 0, out)
-    elif stat == "size":
-        out = F.count(F.lit(1)) if member is None else F.nullif(F.count_if(member), F.lit(0))
-    elif stat == "nunique":
-        out = F.count_distinct(kept)
-        if member is not None:
-            out = F.when(F.count_if(member) > 0, out)
-    else:
-        raise ValueError(f"unknown statistic {stat!r}")
-    return out.cast("double")
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _statistic(stat: str, column: str, member: str | None) -> str:
+    """SQL of one statistic over the rows where ``member`` holds (all rows when it is None)."""
+    value = quoted(column)
+    kept = value if member is None else f"CASE WHEN {member} THEN {value} END"
+    number = f"CAST({kept} AS DOUBLE)"
+    if stat in ("min", "max"):
+        return f"CAST({stat}({kept}) AS DOUBLE)"
+    if stat in ("mean", "var"):
+        # infinite inputs can make a NaN, which means missing
+        function = {"mean": "avg", "var": "var_samp"}[stat]
+        return f"nullif({function}({number}), double('NaN'))"
+    # all-missing sums to 0, but only for a client that has rows in the subset
+    out = {
+        "sum": f"coalesce(sum({number}), 0D)",
+        "nunique": f"CAST(count(DISTINCT {kept}) AS DOUBLE)",
+        "size": f"CAST(count_if({member or 'true'}) AS DOUBLE)",
+    }[stat]
+    return out if member is None else f"CASE WHEN count_if({member}) > 0 THEN {out} END"
 
 
 @dataclass(frozen=True)
@@ -55,6 +55,10 @@ class Rollup:
     carried   like numeric, listed after the shares
     subsets   prefix -> (column, value); repeats ``numeric`` over those rows only
     count     name of the row count, if wanted
+    gather    bring the rows of a key together before aggregating. The aggregation buffer of a wide
+              roll-up is many times larger than a row, so partial results of scattered rows would make the
+              shuffle larger, not smaller. The gathering shuffle is a rebalance, which splits the partition
+              of a very large client; its parts are merged by the partial results.
     """
 
     prefix: str
@@ -63,35 +67,40 @@ class Rollup:
     carried: Mapping[str, Sequence[str]] = field(default_factory=dict)
     subsets: Mapping[str, tuple[str, str]] = field(default_factory=dict)
     count: str | None = None
+    gather: bool = True
 
     def _name(self, column: str, stat: str, prefix: str | None = None) -> str:
         prefix = self.prefix if prefix is None else prefix
         return aggregate_name(prefix, column, stat) if prefix else f"{column}_{stat.upper()}"
 
-    def _numbers(self, spec: Mapping[str, Sequence[str]], prefix: str, member: Column | None):
+    def _numbers(self, spec: Mapping[str, Sequence[str]], prefix: str, member: str | None):
         for column, stats in spec.items():
             for stat in stats:
-                yield self._name(column, stat, prefix), _statistic(stat, col(column), member)
+                yield self._name(column, stat, prefix), _statistic(stat, column, member)
 
     def _shares(self):
-        size = F.count(F.lit(1)).cast("double")
         for column, values in self.shares.items():
             for value in values:
-                hits = F.count_if(F.equal_null(col(column), F.lit(value)))
-                yield self._name(f"{column}_{value}", "mean"), hits.cast("double") / size
-            misses = F.count_if(col(column).isNull())
-            yield self._name(f"{column}_{MISSING_SHARE}", "mean"), misses.cast("double") / size
+                hits = f"count_if({quoted(column)} <=> {text(value)})"
+                yield self._name(f"{column}_{value}", "mean"), f"{hits} / count(1)"
+            yield (self._name(f"{column}_{MISSING_SHARE}", "mean"),
+                   f"count_if({quoted(column)} IS NULL) / count(1)")
 
-    def aggregates(self) -> list[tuple[str, Column]]:
+    def aggregates(self) -> list[tuple[str, str]]:
+        """(output name, SQL) of every aggregate, in output order."""
         out = list(self._numbers(self.numeric, self.prefix, None))
         out += self._shares()
         out += self._numbers(self.carried, self.prefix, None)
         for prefix, (column, value) in self.subsets.items():
-            out += self._numbers(self.numeric, prefix, F.equal_null(col(column), F.lit(value)))
+            out += self._numbers(self.numeric, prefix, f"{quoted(column)} <=> {text(value)}")
         if self.count:
-            out.append((self.count, F.count(F.lit(1)).cast("double")))
+            out.append((self.count, "CAST(count(1) AS DOUBLE)"))
         return out
 
+    def input_columns(self) -> list[str]:
+        names = [*self.numeric, *self.shares, *self.carried, *(column for column, _ in self.subsets.values())]
+        return list(dict.fromkeys(names))
+
     def output_columns(self) -> list[str]:
         names = [self._name(c, s) for c, stats in self.numeric.items() for s in stats]
         names += [self._name(f"{c}_{v}", "mean") for c, values in self.shares.items()
@@ -103,5 +112,8 @@ class Rollup:
 
     def apply(self, df: DataFrame, key: str) -> DataFrame:
         """One row per non-missing key; every output column is a double."""
-        return df.where(col(key).isNotNull()).groupBy(key).agg(
-            *[column.alias(name) for name, column in self.aggregates()])
+        rows = df.where(col(key).isNotNull())
+        if self.gather:
+            rows = (rows.select(key, *[col(c) for c in self.input_columns() if c != key])
+                    .withColumn("_near", F.xxhash64(col(key))).hint("rebalance", "_near"))
+        return rows.groupBy(key).agg(*[F.expr(f"{sql} AS {quoted(name)}") for name, sql in self.aggregates()])

@@ -12,7 +12,8 @@ from creditmill.operators.rollup import Rollup
 
 _RANGE = ("min", "max", "mean")
 
-BALANCE = Rollup("", numeric={"MONTHS_BALANCE": ("min", "max", "size")}, shares=vocabulary.BUREAU_BALANCE)
+BALANCE = Rollup("", numeric={"MONTHS_BALANCE": ("min", "max", "size")}, shares=vocabulary.BUREAU_BALANCE,
+                 gather=False)
 
 BUREAU = Rollup(
     "BURO",
@@ -60,6 +61,7 @@ POS_CASH = Rollup(
     numeric={"MONTHS_BALANCE": ("max", "mean", "size"), "SK_DPD": ("max", "mean"), "SK_DPD_DEF": ("max", "mean")},
     shares=vocabulary.POS_CASH,
     count="POS_COUNT",
+    gather=False,
 )
 
 INSTALLMENTS = Rollup(

@@ -27,6 +27,14 @@ def build_session(app_name: str = "creditmill", cores: str = "*", shuffle_partit
     )
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the jobs rely on, for sessions built elsewhere."""
+    # roll-ups have up to 250 columns; the default of 100 would take them out of code generation
+    spark.conf.set("spark.sql.codegen.maxFields", "2000")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
