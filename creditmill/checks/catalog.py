@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from creditmill.checks import features, rows  # noqa: F401
+from creditmill.checks import features, joins, rows  # noqa: F401
 from creditmill.checks.registry import QUERIES, SQL
 
 

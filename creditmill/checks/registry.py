@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditmill.functions.names import col
+from creditmill.functions.names import quoted
 from creditmill.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +21,8 @@ def single(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     Sums of doubles depend on the order of addition in their last digits, in Spark and in SQL alike.
     """
     chosen = {n for n, t in df.dtypes if t == "double"} if columns is None else set(columns)
-    return df.select(*[col(n).cast("float").cast("double").alias(n) if n in chosen else col(n)
-                       for n in df.columns])
+    return df.selectExpr(*[f"CAST(CAST({quoted(n)} AS FLOAT) AS DOUBLE) AS {quoted(n)}" if n in chosen
+                           else quoted(n) for n in df.columns])
 
 
 def single_sql(sql: str, columns: Sequence[str]) -> str:

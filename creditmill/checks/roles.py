@@ -203,11 +203,16 @@ _LOG = [
     ("ground_truth", "CAST(NULL AS INT)"),
 ]
 
+# requests come from all applicants; every tenth asks under an id that no table knows
+_REQUEST = [(name, f"CASE WHEN c_custkey % 10 = 0 THEN 900000000 + c_custkey ELSE {sql} END"
+             if name == S.KEY else sql) for name, sql in _application() if name != S.LABEL]
+
 _ITEMS = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 # role -> (relation, columns)
 ROLES: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "application": ("customer", _application()),
+    "request": ("customer", _REQUEST),
     "bureau": ("orders", _BUREAU),
     "bureau_balance": ("lineitem", _BALANCE),
     "previous_application": ("orders", _PREVIOUS),

@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 _UNSAFE = re.compile(r"[^A-Za-z0-9_]+")
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL; names may hold spaces, dots, slashes or commas."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text(value: str) -> str:
+    """A string literal as SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def col(name: str) -> Column:
-    """Reference a column whose name may hold spaces, dots, slashes or commas."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def aggregate_name(prefix: str, column: str, stat: str) -> str:

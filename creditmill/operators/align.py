@@ -7,16 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.functions.missing import finite_or_null
-from creditmill.functions.names import col, first_occurrences, safe_names
+from creditmill.functions.missing import finite_sql
+from creditmill.functions.names import col, first_occurrences, quoted, safe_names
 
 
 def align(df: DataFrame, contract: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """``keep`` plus the contract's columns in order: missing ones NULL, others dropped, no infinities."""
     have = set(df.columns)
-    return df.select(*[col(c) for c in keep],
-                     *[(finite_or_null(col(c)) if c in have else F.lit(None).cast("double")).alias(c)
-                       for c in contract])
+    return df.selectExpr(*[quoted(c) for c in keep],
+                         *[f"{finite_sql(quoted(c)) if c in have else 'CAST(NULL AS DOUBLE)'} AS {quoted(c)}"
+                           for c in contract])
 
 
 def contract_gaps(columns: Sequence[str], contract: Sequence[str]) -> tuple[list[str], list[str]]:

@@ -15,8 +15,7 @@ from creditmill.contract import vocabulary
 from creditmill.contract.features import RATIOS
 from creditmill.contract.schema import GENDER_TO_DROP, KEY, LABEL
 from creditmill.functions.missing import ratio, sentinel_to_null
-from creditmill.functions.names import col
-from creditmill.operators.rollup import quoted, text
+from creditmill.functions.names import col, quoted, text
 
 
 def drop_gender(df: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.functions.names import col
-from creditmill.operators.rollup import quoted
+from creditmill.functions.names import col, quoted, text
 
 
 def _inline(df: DataFrame, fields: dict[str, dict[str, str]]) -> DataFrame:
@@ -16,9 +15,11 @@ def _inline(df: DataFrame, fields: dict[str, dict[str, str]]) -> DataFrame:
     aggregates = [F.expr(f"{sql} AS {quoted(f'{i}_{field}')}")
                   for i, per_column in enumerate(fields.values()) for field, sql in per_column.items()]
     one_row = df.agg(*aggregates)
-    rows = [F.struct(F.lit(name).alias("column"), *[col(f"{i}_{field}").alias(field) for field in per_column])
-            for i, (name, per_column) in enumerate(fields.items())]
-    return one_row.select(F.inline(F.array(*rows)))
+    rows = []
+    for i, (name, per_column) in enumerate(fields.items()):
+        cells = ", ".join(f"'{field}', {quoted(f'{i}_{field}')}" for field in per_column)
+        rows.append(f"named_struct('column', {text(name)}, {cells})")
+    return one_row.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _number(sql: str, numeric: bool) -> str:

@@ -13,19 +13,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.functions.names import aggregate_name, col
+from creditmill.functions.names import aggregate_name, col, quoted, text
 
 MISSING_SHARE = "nan"  # fixed value: name of the share of missing categories
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _statistic(stat: str, column: str, member: str | None) -> str:
     """SQL of one statistic over the rows where ``member`` holds (all rows when it is None)."""
     value = quoted(column)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditmill.contract import schema as S
-from creditmill.operators.rollup import quoted, text
+from creditmill.functions.names import quoted, text
 
 ERRORS = "errors"
 
@@ -69,9 +69,8 @@ def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 def broken_per_rule(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Long form (rule, broken) with a row for every rule, also the unbroken ones."""
     totals = df.agg(*[F.expr(f"count_if({broken})").alias(f"r{i}") for i, broken in enumerate(rules.values())])
-    pairs = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("broken"))
-                      for i, name in enumerate(rules)])
-    return totals.select(F.inline(pairs))
+    pairs = ", ".join(f"named_struct('rule', {text(name)}, 'broken', r{i})" for i, name in enumerate(rules))
+    return totals.selectExpr(f"inline(array({pairs}))")
 
 
 def score_rules() -> dict[str, str]:

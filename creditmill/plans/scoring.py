@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from creditmill.contract.features import feature_names, no_history_template
 from creditmill.contract.schema import KEY, Model
-from creditmill.functions.missing import finite_or_null
-from creditmill.functions.names import col
+from creditmill.functions.missing import finite_sql
+from creditmill.functions.names import col, quoted
 from creditmill.operators.encode import application_columns
 from creditmill.operators.lookup import lookup_join
 
@@ -34,24 +34,25 @@ def assemble(requests: DataFrame, store: DataFrame, contract: Sequence[str] | No
     wanted = [c for c in store_columns if c in set(contract) and c not in set(encoded.columns)]
     history = store.select(KEY, *[col(c) for c in wanted], F.lit(True).alias(KNOWN))
     joined = lookup_join(encoded, history, KEY, request_id)
-    known = F.coalesce(F.col(KNOWN), F.lit(False))
+    known = f"coalesce({KNOWN}, false)"
     from_store, have = set(wanted), set(encoded.columns)
 
-    def feature(name: str) -> Column:
+    def feature(name: str) -> str:
+        fallback = template.get(name)
         if name in from_store:
-            fallback = template.get(name)
-            value = finite_or_null(col(name))
+            value = finite_sql(quoted(name))
             if fallback is not None:
-                value = F.when(known, value).otherwise(F.lit(float(fallback)))
+                value = f"CASE WHEN {known} THEN {value} ELSE {float(fallback)}D END"
         elif name in have:
-            value = finite_or_null(col(name))
+            value = finite_sql(quoted(name))
+        elif fallback is not None:
+            value = f"CASE WHEN NOT {known} THEN {float(fallback)}D END"
         else:
-            default = template.get(name)
-            value = F.when(~known, F.lit(float(default))) if default is not None else F.lit(None).cast("double")
-        return value.alias(name)
+            value = "CAST(NULL AS DOUBLE)"
+        return f"{value} AS {quoted(name)}"
 
-    carried = [col(c) for c in dict.fromkeys([KEY, request_id, *keep])]
-    return joined.select(*carried, known.alias(KNOWN), *[feature(name) for name in contract])
+    carried = [quoted(c) for c in dict.fromkeys([KEY, request_id, *keep])]
+    return joined.selectExpr(*carried, f"{known} AS {KNOWN}", *[feature(name) for name in contract])
 
 
 def income_credit_score() -> Column:

@@ -29,8 +29,9 @@ def build_session(app_name: str = "creditmill", cores: str = "*", shuffle_partit
 
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings the jobs rely on, for sessions built elsewhere."""
-    # roll-ups have up to 250 columns; the default of 100 would take them out of code generation
-    spark.conf.set("spark.sql.codegen.maxFields", "2000")
+    # a roll-up has up to 250 columns and 350 buffers; the default of 100 would take it out of code
+    # generation. Joined stores are wider still and would exceed the size limit of a Java method.
+    spark.conf.set("spark.sql.codegen.maxFields", "400")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
