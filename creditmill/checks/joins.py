@@ -168,7 +168,8 @@ def score_assemble(spark, sf):
 def scored(spark, sf, keep=()):
     """Requests against the installments family, scored with the test scorer."""
     store = P.installments_family(role(spark, sf, "installments_payments"))
-    assembled = SC.assemble(role(spark, sf, "request"), store)
+    # the test scorer reads two features; a model would take the whole contract
+    assembled = SC.assemble(role(spark, sf, "request"), store, ["AMT_INCOME_TOTAL", "AMT_CREDIT", *keep])
     return SC.respond(assembled, SC.income_credit_score(), MODEL, keep)
 
 
@@ -331,6 +332,6 @@ _STORE_COUNTS = ["POS_COUNT", "INSTAL_COUNT", "CC_COUNT"]
     WHERE {K} NOT IN (SELECT {K} FROM POS_CASH_balance)""", "request", "POS_CASH_balance"))
 def no_history_template(spark, sf):
     store = P.pos_family(role(spark, sf, "POS_CASH_balance"))
-    assembled = SC.assemble(role(spark, sf, "request"), store)
+    assembled = SC.assemble(role(spark, sf, "request"), store, ["POS_COUNT", "POS_MONTHS_BALANCE_SIZE"])
     return assembled.where(~F.col("client_known")).select(
         K, F.col("POS_COUNT").cast("int").alias("POS_COUNT"), "POS_MONTHS_BALANCE_SIZE")

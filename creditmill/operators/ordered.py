@@ -108,3 +108,9 @@ def quantiles(df: DataFrame, groups: Sequence[str], values: Mapping[str, Column]
             spot_out = (F.col(f"_{name}_n") - 1) * F.lit(float(q))
             finals.append((low + (high - low) * (spot_out - F.floor(spot_out))).alias(f"{name}_{label}"))
     return ranked.groupBy(*groups).agg(*parts).select(*groups, *finals)
+
+
+def nearest_ranks() -> dict[str, Callable[[Column], Column]]:
+    """Ranks of the median and the 95th percentile without interpolation."""
+    return {"p50": lambda n: F.floor(n / 2),
+            "p95": lambda n: F.least(n - 1, F.floor(n * F.lit(0.95)))}
