@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from creditmill.checks import features, joins, logs, models, rows  # noqa: F401
+from creditmill.checks import drifts, features, joins, logs, models, rows, streams  # noqa: F401
 from creditmill.checks.registry import QUERIES, SQL
 
 

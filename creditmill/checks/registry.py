@@ -30,7 +30,8 @@ def single_sql(sql: str, columns: Sequence[str]) -> str:
     return f"SELECT * REPLACE ({replaced}) FROM ({sql})" if columns else sql
 
 
-def query(name: str, sql: str | None = None, singles: Sequence[str] = ()) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, singles: Sequence[str] = (),
+          wide: bool = False) -> Callable[[Query], Query]:
     """Register a query; ``singles`` are the doubles compared at single precision."""
 
     def register(function: Query) -> Query:
@@ -38,7 +39,7 @@ def query(name: str, sql: str | None = None, singles: Sequence[str] = ()) -> Cal
             raise ValueError(f"{name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return single(function(tune(spark), sf_dir), singles)
+            return single(function(tune(spark, wide), sf_dir), singles)
 
         QUERIES[name] = run
         if sql is not None:

@@ -62,13 +62,15 @@ def running_sums(counted: DataFrame, groups: Sequence[str], value: str, weights:
         *[F.col(f"{w}_total") for w in weights])
 
 
-def _long(df: DataFrame, groups: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+def _long(df: DataFrame, groups: Sequence[str], values: Mapping[str, Column],
+          count: Column | None = None) -> DataFrame:
     """One row per (group, column, value) with its count, missing values left out."""
+    count = F.lit(1) if count is None else count
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), c.cast("double").alias("value"))
                                 for n, c in values.items()])).alias("cell")
-    return (df.select(*groups, cells).select(*groups, "cell.column", "cell.value")
-            .where(F.col("value").isNotNull())
-            .groupBy(*groups, "column", "value").agg(F.count(F.lit(1)).alias("n")))
+    return (df.select(*groups, count.cast("bigint").alias("n"), cells)
+            .select(*groups, "n", "cell.column", "cell.value").where(F.col("value").isNotNull())
+            .groupBy(*groups, "column", "value").agg(F.sum("n").alias("n")))
 
 
 def _pick(name: str, rank: Column) -> Column:
@@ -95,7 +97,13 @@ def quantiles(df: DataFrame, groups: Sequence[str], values: Mapping[str, Column]
 
     A group whose values are all missing in every column has no row.
     """
-    ranked = running_sums(_long(df, groups, values), [*groups, "column"], "value", ["n"])
+    return counted_quantiles(df, groups, values, probabilities, F.lit(1))
+
+
+def counted_quantiles(df: DataFrame, groups: Sequence[str], values: Mapping[str, Column],
+                      probabilities: Mapping[str, float], count: Column) -> DataFrame:
+    """``quantiles`` of rows that each stand for ``count`` equal ones."""
+    ranked = running_sums(_long(df, groups, values, count), [*groups, "column"], "value", ["n"])
     total = F.col("n_total")
     parts, finals = [], []
     for name in values:

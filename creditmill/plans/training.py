@@ -22,17 +22,19 @@ from creditmill.contract.schema import Model
 from creditmill.functions.names import col
 from creditmill.operators.evaluate import SEARCH_STEPS, best_threshold, with_class_weights
 from creditmill.operators.sampling import stratified_folds
+from creditmill.session import cut_lineage
 
 SEED = 42  # fixed value
 FOLDS = 5  # fixed value
 WEIGHT = "weight"
-SCORE = "probability"
+SCORE = "score"
+_VECTOR = "probability"  # the column MLlib classifiers write
 
 
 def classifier(kind: str, n_features: int, label: str, weighted: bool = True) -> Estimator:
     """One of the four model families. The perceptron takes no row weights."""
     weights = {"weightCol": WEIGHT} if weighted else {}
-    common = {"labelCol": label, "featuresCol": "features", "probabilityCol": "_probability"}
+    common = {"labelCol": label, "featuresCol": "features"}
     if kind == "boosting":
         return GBTClassifier(seed=SEED, maxIter=20, maxDepth=5, **common, **weights)
     if kind == "forest":
@@ -72,13 +74,16 @@ def predict(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> Dat
     """``df`` with the probability of class 1."""
     ready, _ = prepare(df, features)
     scored = model.transform(ready)
-    return scored.select(*[col(c) for c in df.columns], vector_to_array("_probability")[1].alias(SCORE))
+    return scored.select(*[col(c) for c in df.columns], vector_to_array(_VECTOR)[1].alias(SCORE))
 
 
 def out_of_fold(df: DataFrame, key: str, features: Sequence[str], label: str, kind: str = "logistic",
                 folds: int = FOLDS) -> DataFrame:
-    """Every row scored by a model that has not seen it; adds ``fold`` and ``probability``."""
-    split = stratified_folds(df, key, label, folds, SEED)
+    """Every row scored by a model that has not seen it; adds ``fold`` and ``score``.
+
+    The folds are written once; every fit then reads that table instead of the plan behind ``df``.
+    """
+    split = cut_lineage(stratified_folds(df, key, label, folds, SEED), "folds")
     parts = []
     for fold in range(folds):
         model = fit(split.where(F.col("fold") != fold), features, label, kind)
@@ -95,7 +100,7 @@ class CostEvaluator(Evaluator, HasLabelCol):
         self._set(labelCol=labelCol)
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        scored = dataset.select(col(self.getLabelCol()), vector_to_array("_probability")[1].alias(SCORE))
+        scored = dataset.select(col(self.getLabelCol()), vector_to_array(_VECTOR)[1].alias(SCORE))
         return float(best_threshold(scored, self.getLabelCol(), SCORE, SEARCH_STEPS).first()["cost"])
 
     def isLargerBetter(self) -> bool:
@@ -109,7 +114,7 @@ def search(df: DataFrame, key: str, features: Sequence[str], label: str, trials:
 
     draw = random.Random(SEED)
     ready, _ = prepare(stratified_folds(df, key, label, folds, SEED), features)
-    ready = with_class_weights(ready, label, WEIGHT)
+    ready = cut_lineage(with_class_weights(ready, label, WEIGHT), "search")
     pipe = pipeline("logistic", features, label)
     model = pipe.getStages()[-1]
     grid = []

@@ -27,12 +27,17 @@ def build_session(app_name: str = "creditmill", cores: str = "*", shuffle_partit
     )
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Session settings the jobs rely on, for sessions built elsewhere."""
-    # a roll-up has up to 250 columns and 350 buffers; the default of 100 would take it out of code
-    # generation. Joined stores are wider still and would exceed the size limit of a Java method.
-    spark.conf.set("spark.sql.codegen.maxFields", "400")
+def tune(spark: SparkSession, wide: bool = False) -> SparkSession:
+    """Session settings the jobs rely on, for sessions built elsewhere.
+
+    ``wide`` is for roll-ups: they have up to 250 columns and 350 buffers, and the default limit of 100
+    fields would take them out of code generation.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if wide:
+        spark.conf.set("spark.sql.codegen.maxFields", "400")
+    else:
+        spark.conf.unset("spark.sql.codegen.maxFields")
     return spark
 
 
