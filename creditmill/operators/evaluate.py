@@ -101,21 +101,28 @@ def _by_score(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataF
     return running_sums(counted, by, "_s", ["pos", "neg"])
 
 
-def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Chance that a one scores above a zero, ties counting half: (by..., roc_auc)."""
+def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., roc_auc, pr_auc) from one ranking.
+
+    roc_auc is the chance that a one scores above a zero, ties counting half. pr_auc sums, over the
+    distinct scores from the top, the recall gained times the precision reached.
+    """
     ranked = _by_score(df, label, score, by)
     wins = F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg")))
     pairs = F.max("pos_total") * F.max("neg_total").cast("double")
-    return ranked.groupBy(*by).agg((wins / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
-
-
-def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Sum over distinct scores, from the top, of recall gained times precision reached."""
-    ranked = _by_score(df, label, score, by)
     hits = (F.col("pos_total") - F.col("pos_before")).cast("double")
     alarms = hits + F.col("neg_total") - F.col("neg_before")
     gained = F.col("pos") / F.nullif(F.col("pos_total"), F.lit(0))
-    return ranked.groupBy(*by).agg(F.sum(gained * hits / alarms).alias("pr_auc"))
+    return ranked.groupBy(*by).agg((wins / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"),
+                                   F.sum(gained * hits / alarms).alias("pr_auc"))
+
+
+def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    return ranking_metrics(df, label, score, by).drop("pr_auc")
+
+
+def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    return ranking_metrics(df, label, score, by).drop("roc_auc")
 
 
 def metrics(df: DataFrame, label: str, score: str, threshold: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -124,8 +131,7 @@ def metrics(df: DataFrame, label: str, score: str, threshold: Column, by: Sequen
     rows = df.withColumn("_all", F.lit(1))
     keys = ["_all", *by]
     point = with_rates(confusion(rows, label, col(score) >= threshold, keys))
-    return (point.join(roc_auc(rows, label, score, keys), keys)
-            .join(average_precision(rows, label, score, keys), keys).drop("_all"))
+    return point.join(ranking_metrics(rows, label, score, keys), keys).drop("_all")
 
 
 def fold_metrics(df: DataFrame, label: str, score: str, fold: str, steps: int = SEARCH_STEPS) -> DataFrame:
@@ -153,17 +159,17 @@ def holdout_report(metric_row: DataFrame) -> DataFrame:
     return metric_row.select(F.inline(F.array(*rows)))
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """(label, rows, weight) with weight = all rows / (classes * rows of the class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
-    totals = counts.agg(F.struct(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
-    return (counts.withColumn("_t", totals)
-            .select(label, "rows", (F.col("_t.n") / (F.col("_t.k") * F.col("rows"))).alias("weight")))
-
-
 def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    weights = class_weights(df, label).select(label, F.col("weight").alias(name))
-    return df.join(F.broadcast(weights), label)  # one row per class
+    """Add the balanced weight of a 0/1 label: all rows / (2 * rows of the class).
+
+    The two counts come from a one-row subquery. A join on the label would send half of the rows to one
+    task.
+    """
+    ones = F.count_if(col(label) == 1)
+    counts = df.agg(F.struct(F.count(col(label)).alias("n"), ones.alias("ones"))).scalar()
+    of_class = F.when(col(label) == 1, F.col("_c.ones")).otherwise(F.col("_c.n") - F.col("_c.ones"))
+    return (df.withColumn("_c", counts)
+            .withColumn(name, F.when(col(label).isNotNull(), F.col("_c.n") / (2 * of_class))).drop("_c"))
 
 
 def score_extremes(df: DataFrame, key: str, score: str, label: str) -> DataFrame:

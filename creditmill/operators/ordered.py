@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from creditmill.session import cut_lineage
+
 MAX_PIECES = 1023
 
 
@@ -23,18 +25,22 @@ def _pieces(df: DataFrame) -> int:
 def _cut_index(cuts: Column, position: Column, pieces: int) -> Column:
     """How many split points are <= position, by bisection over the sorted split points."""
     steps = [1 << b for b in reversed(range(pieces.bit_length()))]
-    return F.aggregate(
+    index = F.aggregate(
         F.array(*[F.lit(s) for s in steps]), F.lit(0),
         lambda low, step: F.when(F.get(cuts, low + step - 1) <= position, low + step).otherwise(low))
+    # never NULL; saying so keeps a derived "is not null" filter from running this on the raw rows
+    return F.coalesce(index, F.lit(0))
 
 
 def running_sums(counted: DataFrame, groups: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
     """Add ``<w>_before`` and ``<w>_total`` for every weight column.
 
     ``counted`` has one row per (groups, value), none of them NULL. ``<w>_before`` sums the weight over
-    smaller values of the same group.
+    smaller values of the same group. The counts are written once, because the split points, the piece
+    totals and the running sums each read them.
     """
     groups = list(groups)
+    counted = cut_lineage(counted, "counted")
     pieces = _pieces(counted)
     position = F.struct(*[F.col(c) for c in [*groups, value]])
     # the rows with the smallest hashes are a uniform sample of fixed size, the same on every attempt
