@@ -87,7 +87,7 @@ def join_subset_left(spark, sf):
 
 
 # --- store -----------------------------------------------------------------------------------------
-@query("feature_store", FS.store_sql(), C.store_features(), wide=True)
+@query("feature_store", FS.store_sql(), C.store_features())
 def feature_store(spark, sf):
     return FST.feature_store(child_tables(spark, sf))
 
@@ -144,7 +144,7 @@ _GENDER = "CODE_GENDER IS DISTINCT FROM 'XNA'"
 @query("training_matrix", with_roles(
     f"SELECT application.{K}, TARGET, {_contract_sql('application')} FROM application "
     f"LEFT JOIN store s ON s.{K} = application.{K} WHERE {_GENDER}", "application", store=FS.store_sql()),
-    C.feature_names(), wide=True)
+    C.feature_names())
 def training_matrix(spark, sf):
     return FST.training_matrix(role(spark, sf, "application"), child_tables(spark, sf))
 
@@ -160,7 +160,7 @@ def reference_join(spark, sf):
 # --- scoring ---------------------------------------------------------------------------------------
 @query("score_assemble", with_roles(
     f"SELECT request.{K}, s.{K} IS NOT NULL AS client_known, {_contract_sql('request')} FROM request "
-    f"LEFT JOIN store s ON s.{K} = request.{K}", "request", store=FS.store_sql()), C.feature_names(), wide=True)
+    f"LEFT JOIN store s ON s.{K} = request.{K}", "request", store=FS.store_sql()), C.feature_names())
 def score_assemble(spark, sf):
     return SC.assemble(role(spark, sf, "request"), FST.feature_store(child_tables(spark, sf)))
 

@@ -97,10 +97,12 @@ PREVIOUS_DATES = ["DAYS_FIRST_DRAWING", "DAYS_FIRST_DUE", "DAYS_LAST_DUE_1ST_VER
 def attach_balance(bureau: DataFrame, balance: DataFrame) -> DataFrame:
     """Left join of the balance roll-up onto its bureau credit.
 
-    Credits without an id cannot match; the spread column keeps them from piling up in one task.
+    Credits without an id cannot match; the spread column keeps them from piling up in one task. On the
+    other side it is always 0, written so that the optimizer keeps it as a join key.
     """
-    per_credit = BALANCE.apply(balance, "SK_ID_BUREAU").withColumn("_spread", F.lit(0))
-    spread = F.when(F.col("SK_ID_BUREAU").isNull(), F.pmod(F.xxhash64(*bureau.columns), F.lit(64)).cast("int"))
+    credit = F.col("SK_ID_BUREAU")
+    per_credit = BALANCE.apply(balance, "SK_ID_BUREAU").withColumn("_spread", F.pmod(credit, F.lit(1)).cast("int"))
+    spread = F.when(credit.isNull(), F.pmod(F.xxhash64(*bureau.columns), F.lit(64)).cast("int"))
     return (bureau.withColumn("_spread", F.coalesce(spread, F.lit(0)))
             .join(per_credit, ["SK_ID_BUREAU", "_spread"], "left").drop("_spread"))
 
