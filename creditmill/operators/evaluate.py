@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from creditmill.functions.missing import share_of
 from creditmill.functions.names import col
+from creditmill.operators.lookup import join_groups
 from creditmill.operators.ordered import running_sums
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -131,7 +132,7 @@ def metrics(df: DataFrame, label: str, score: str, threshold: Column, by: Sequen
     rows = df.withColumn("_all", F.lit(1))
     keys = ["_all", *by]
     point = with_rates(confusion(rows, label, col(score) >= threshold, keys))
-    return point.join(ranking_metrics(rows, label, score, keys), keys).drop("_all")
+    return join_groups(point, ranking_metrics(rows, label, score, keys), keys).drop("_all")
 
 
 def fold_metrics(df: DataFrame, label: str, score: str, fold: str, steps: int = SEARCH_STEPS) -> DataFrame:

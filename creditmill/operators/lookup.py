@@ -1,7 +1,10 @@
-"""Left join of many rows per key against a table with one row per key, safe for hot keys."""
+"""Joins that keep every row: hot keys are spread, missing group values match each other."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +36,10 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, row_id: str) -> Dat
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
                            .otherwise(F.array(F.lit(0))))).drop("_hot")
     return spread_left.join(spread_right, [key, "_salt"], "left").drop("_salt")
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on group columns where a missing value equals a missing value, as in ``groupBy``."""
+    renamed = right.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(col(f"_other_{k}")) for k in keys])
+    return left.join(renamed, same).drop(*[f"_other_{k}" for k in keys])

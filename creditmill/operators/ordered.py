@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from creditmill.operators.lookup import join_groups
 from creditmill.session import cut_lineage
 
 MAX_PIECES = 1023
@@ -35,7 +36,7 @@ def _cut_index(cuts: Column, position: Column, pieces: int) -> Column:
 def running_sums(counted: DataFrame, groups: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
     """Add ``<w>_before`` and ``<w>_total`` for every weight column.
 
-    ``counted`` has one row per (groups, value), none of them NULL. ``<w>_before`` sums the weight over
+    ``counted`` has one row per (groups, value) with a non-NULL value. ``<w>_before`` sums the weight over
     smaller values of the same group. The counts are written once, because the split points, the piece
     totals and the running sums each read them.
     """
@@ -61,7 +62,7 @@ def running_sums(counted: DataFrame, groups: Sequence[str], value: str, weights:
               .rowsBetween(Window.unboundedPreceding, -1))
     local = placed.select("*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_{w}_local")
                                  for w in weights])
-    joined = local.join(offsets, [*groups, "_piece"])
+    joined = join_groups(local, offsets, [*groups, "_piece"])
     return joined.select(
         *counted.columns,
         *[(F.col(f"_{w}_local") + F.col(f"_{w}_offset")).alias(f"{w}_before") for w in weights],

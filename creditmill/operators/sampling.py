@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from creditmill.functions.hashing import digest, uniform
 from creditmill.functions.names import col
+from creditmill.operators.lookup import join_groups
 
 _BUCKET_DIGITS = 3  # 16**3 hash buckets per stratum, all of about the same size
 BROADCAST_KEYS = 1_000_000  # a sample of at most this many keys is joined back by broadcast
@@ -42,8 +43,8 @@ def hash_rank(df: DataFrame, key: str, seed: int, strata: Sequence[str] = (), na
     bucketed = _bucketed(df, key, seed)
     starts = _bucket_starts(bucketed, strata).drop("_size", "_stratum_size")
     inside = Window.partitionBy(*strata, "_bucket").orderBy("_digest", col(key))
-    return (bucketed.withColumn("_row", F.row_number().over(inside))
-            .join(starts, [*strata, "_bucket"])
+    numbered = bucketed.withColumn("_row", F.row_number().over(inside))
+    return (join_groups(numbered, starts, [*strata, "_bucket"])
             .withColumn(name, F.col("_start") + F.col("_row") - 1)
             .select(*df.columns, name))
 
@@ -90,9 +91,9 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int)
     starts = _bucket_starts(narrow, [stratum])
     quota = allocation(starts.groupBy(stratum).agg(F.max("_stratum_size").alias("_stratum_size")), stratum, n)
     # buckets past the quota hold no sampled row
-    needed = starts.join(quota, stratum).where(F.col("_start") < F.col("_take"))
+    needed = join_groups(starts, quota, [stratum]).where(F.col("_start") < F.col("_take"))
     inside = Window.partitionBy(stratum, "_bucket").orderBy("_digest", col(key))
-    picked = (narrow.join(needed, [stratum, "_bucket"])
+    picked = (join_groups(narrow, needed, [stratum, "_bucket"])
               .withColumn("_rank", F.col("_start") + F.row_number().over(inside))
               .where(F.col("_rank") <= F.col("_take")).select(key))
     return df.join(F.broadcast(picked) if n <= BROADCAST_KEYS else picked, key, "left_semi")

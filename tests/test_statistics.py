@@ -21,7 +21,7 @@ def values(spark):
     """Two groups; one holds most rows, and a third of all rows are one value."""
     rng = random.Random(3)
     rows = [("big" if i % 10 else "small", 5.0 if i % 3 == 0 else round(rng.gauss(0, 1), 2)) for i in range(6000)]
-    rows += [("big", None), ("empty", None)]
+    rows += [("big", None), ("empty", None), (None, 1.0), (None, 4.0), (None, 2.0)]
     return rows, spark.createDataFrame(rows, "g string, v double")
 
 
@@ -36,7 +36,7 @@ def by_group(rows):
 def test_quantiles(values):
     rows, df = values
     got = {r.g: r for r in O.quantiles(df, ["g"], {"v": F.col("v")}, {"a": 0.5, "b": 0.95, "c": 0.0, "d": 1.0}).collect()}
-    assert set(got) == {"big", "small"}
+    assert set(got) == {"big", "small", None}
     for g, vs in by_group(rows).items():
         for name, q in (("a", 0.5), ("b", 0.95), ("c", 0), ("d", 1)):
             assert got[g][f"v_{name}"] == pytest.approx(np.quantile(vs, q))
@@ -76,10 +76,17 @@ def test_stratified_sample_is_exact(spark):
     assert SM.stratified_sample(df, "id", "y", 99999, 42).count() == 5000
 
 
+def test_missing_label_is_a_stratum(spark):
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id % 4 = 0 THEN 1 WHEN id % 4 = 1 THEN 0 END AS y")
+    counts = {r.y: r["count"] for r in SM.stratified_sample(df, "id", "y", 100, 1).groupBy("y").count().collect()}
+    assert counts == {1: 25, 0: 25, None: 50}
+
+
 def test_folds_are_balanced(spark):
-    df = spark.range(1003).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END AS y")
+    df = spark.range(1003).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 1 WHEN id % 10 > 4 THEN 0 END AS y")
     counts = SM.stratified_folds(df, "id", "y").groupBy("y", "fold").count().collect()
-    for y in (0, 1):
+    assert sum(r["count"] for r in counts) == 1003
+    for y in (0, 1, None):
         sizes = [r["count"] for r in counts if r.y == y]
         assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
 
