@@ -37,6 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, f"llm-{name}")
 
 
+def settled(df: DataFrame, keep: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    """``keep`` and ``columns``, computed once per row whatever is done with them later.
+
+    A filter on a column is pushed below the projections that make it, which repeats nested expressions many times
+    over; a generator of one row in between stops that.
+    """
+    name = fresh(df, "settled")
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias(name)
+    return df.select(*[F.col(f"`{c}`") for c in keep], made).select(
+        *[F.col(f"`{c}`") for c in keep], *[F.col(name).getField(n).alias(n) for n in columns])
+
+
 def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, by: Sequence[str]) -> DataFrame:
     """Inner join of ``rows`` with ``groups``, which has one row per key and, in ``size``, the rows of that key.
 

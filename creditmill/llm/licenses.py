@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import text_of
+from creditmill.llm.common import settled, text_of
 from creditmill.llm.spans import with_matches
 
 #: identifier: sentences of licences and notices (fixed values, compared after normalising).
@@ -125,7 +125,7 @@ def recognise(docs: DataFrame) -> DataFrame:
     found = F.transform("rule", lambda r: F.struct(
         F.element_at(names, r["hit"]).alias("licence"), F.col("known")[r["start"]]["start"].alias("start"),
         F.col("known")[r["end"] - 1]["end"].alias("end")))
-    return df.select("doc_id", "known", found.alias("found"))
+    return settled(df, ["doc_id"], {"known": F.col("known"), "found": found})
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import WORD, fresh, text_of
+from creditmill.llm.common import WORD, fresh, settled, text_of
 
 #: Frequent function words of the languages in the corpus (fixed values).
 STOP_WORDS = {
@@ -91,9 +91,9 @@ def figures(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     step = step.select(*kept, *counts, F.expr(
         f"sort_array(transform(filter({exact}, (x, i) -> coalesce({same.format(exact, '+')}, false)"
         f" OR coalesce({same.format(exact, '-')}, false)), x -> x.p))").alias(hits))
-    return step.select(*kept, *counts, F.expr(
-        f"aggregate(transform({hits}, (p, i) -> least(3, coalesce(get({hits}, i + 1) - p, 3))), 0L,"
-        " (a, x) -> a + x)").alias("n_repeat_words"))
+    repeats = F.expr(f"aggregate(transform({hits}, (p, i) -> least(3, coalesce(get({hits}, i + 1) - p, 3))), 0L,"
+                     " (a, x) -> a + x)")
+    return settled(step, keep, {c: F.col(c) for c in counts} | {"n_repeat_words": repeats})
 
 
 def base_failed() -> Column:
@@ -129,9 +129,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Columns of ``docs`` that are named like a count are carried under another name meanwhile.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
-    # none or one row, rather than a filter, which would be pushed down and repeat the counts' expressions
-    stays = F.when(~base_failed() & passes(), F.array("row")).otherwise(F.expr("slice(array(row), 1, 0)"))
-    good = figures(packed, ["row"]).select(F.explode(stays).alias("row"))
+    good = figures(packed, ["row"]).where(~base_failed() & passes())
     return good.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import text_of
+from creditmill.llm.common import settled, text_of
 from creditmill.llm.spans import joined, with_matches
 
 _VALUE = "[A-Za-z0-9+/_.=-]+"
@@ -93,7 +93,8 @@ def scan(docs: DataFrame, model: list[float] | None) -> DataFrame:
         parts.append(f"transform(filter({kind}, x -> length({measured}) >= {least}),"
                      f" x -> struct(x.start AS start, {rank} AS rank, x.end AS end, '{kind}' AS kind))")
     if model is None:
-        return df.select("doc_id", F.expr(f"concat({', '.join(parts)})").alias("base")).withColumn("spans", F.col("base"))
+        base = F.expr(f"concat({', '.join(parts)})")
+        return settled(df, ["doc_id"], {"base": base, "spans": base})
     df = with_matches(df.select("doc_id", "t", F.expr(f"concat({', '.join(parts)})").alias("base")), "t", CANDIDATE, "c")
     df = df.select("doc_id", "base", F.expr(
         "filter(c, x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))").alias("c"))
@@ -106,7 +107,7 @@ def scan(docs: DataFrame, model: list[float] | None) -> DataFrame:
         f"transform(filter(transform(c, (x, i) -> struct(x.start AS start, x.end AS end, scores[i] AS score)),"
         f" x -> x.score >= {LEAST_TOTAL}D AND x.score >= {LEAST_EACH}D * (x.end - x.start)),"
         f" x -> struct(x.start AS start, {len(BASE)} AS rank, x.end AS end, 'random' AS kind))")
-    return df.select("doc_id", "base", F.concat("base", added).alias("spans"))
+    return settled(df, ["doc_id"], {"base": F.col("base"), "spans": F.concat("base", added)})
 
 
 def digest(docs: DataFrame) -> DataFrame:

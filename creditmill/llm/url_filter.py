@@ -63,6 +63,7 @@ def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.Recor
             rule.append(best[2] if best else None)
             verdict.append(best[3] if best else default)
             out.append(k)
+        out = pa.array(out, pa.int64())  # may be empty: a batch can hold rules alone
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id").take(out), batch.column("host").take(out), batch.column("path").take(out),
              pa.array(rule, pa.string()), pa.array(verdict, pa.string())],
