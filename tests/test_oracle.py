@@ -4,8 +4,10 @@ import __spark_entry__ as entry
 import oracle
 import pytest
 
+from creditmill.checks import catalog
+
 SF = "0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 # fitted models: no SQL states their result
 ITERATIVE = {"train_logistic", "train_boosting", "train_forest", "train_perceptron", "oof_scores", "param_search",
              "gain_importance", "ks_features_exact"}
