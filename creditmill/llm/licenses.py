@@ -74,8 +74,8 @@ RULES = {
     "ISC": [["isc-grant"]],
     "MPL-2.0": [["mpl-notice"]],
 }
-#: A sentence ends after these marks before a blank; in the finer cut also at the end of a line.
-COARSE = r"(?s)(?:(?![.!?;:]\s).)+(?:[.!?;:](?=\s))?"
+#: A sentence ends after these marks before a blank, or at an empty line; in the finer cut also at the end of a line.
+COARSE = r"(?s)(?:(?![.!?;:]\s|\n[ \t]*\n).)+(?:[.!?;:](?=\s))?"
 FINE = r"(?:(?![.!?;:]\s)[^\n])+(?:[.!?;:](?=\s))?"
 
 

@@ -30,7 +30,9 @@ IDENTIFIER = r"[A-Za-z_][A-Za-z_]{5,}"
 #: hashes of all. It bounds what the classifier is fitted on, not what is scanned.
 SAMPLE_DOCS = 1000
 #: Least log-likelihood ratio (natural logarithm) in all, and for each character.
-LEAST_TOTAL, LEAST_EACH = 8.0, 0.5
+LEAST_TOTAL, LEAST_EACH = 3.0, 0.15
+#: Pairs' worth of what the second character alone says.
+PRIOR = 8
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=."
 _STATES = len(ALPHABET) + 1  # 0: the start, and any other character
@@ -57,8 +59,8 @@ def _states(value: Column) -> Column:
 def train(samples: DataFrame) -> list[float] | None:
     """The log-likelihood ratio of each pair of states, row by row; None unless both labels have samples.
 
-    Counts are taken in Spark over all samples; at most two tables of 69 by 69 numbers come to the driver. Every pair
-    counts one more than seen, so that none is impossible.
+    Counts are taken in Spark over all samples; at most two tables of 69 by 69 numbers come to the driver. Pairs seen
+    rarely lean on how often their second character is seen at all, counted one more, so that none is impossible.
     """
     chains = samples.where(F.length("value") > 0).select("random", _states(F.col("value")).alias("s"))
     pairs = chains.select("random", F.explode(F.expr("transform(sequence(0, size(s) - 2), i -> s[i] * 1000 + s[i + 1])")).alias("p"))
@@ -67,8 +69,12 @@ def train(samples: DataFrame) -> list[float] | None:
     if {k[0] for k in counts} != {True, False}:
         return None
 
+    seen = {label: [sum(counts.get((label, a, b), 0) for a in range(_STATES)) for b in range(_STATES)]
+            for label in (True, False)}
+
     def log_probability(label: bool, a: int, b: int, row: int) -> float:
-        return math.log((counts.get((label, a, b), 0) + 1) / (row + _STATES))
+        alone = (seen[label][b] + 1) / (sum(seen[label]) + _STATES)
+        return math.log((counts.get((label, a, b), 0) + PRIOR * alone) / (row + PRIOR))
 
     ratios = []
     for a in range(_STATES):
