@@ -33,6 +33,8 @@ SAMPLE_DOCS = 1000
 LEAST_TOTAL, LEAST_EACH = 3.0, 0.15
 #: Pairs' worth of what the second character alone says.
 PRIOR = 8
+#: Weight of equally likely characters among random strings, whose alphabet the samples need not show.
+EVEN = 0.5
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=."
 _STATES = len(ALPHABET) + 1  # 0: the start, and any other character
@@ -74,7 +76,8 @@ def train(samples: DataFrame) -> list[float] | None:
 
     def log_probability(label: bool, a: int, b: int, row: int) -> float:
         alone = (seen[label][b] + 1) / (sum(seen[label]) + _STATES)
-        return math.log((counts.get((label, a, b), 0) + PRIOR * alone) / (row + PRIOR))
+        chance = (counts.get((label, a, b), 0) + PRIOR * alone) / (row + PRIOR)
+        return math.log((1 - EVEN) * chance + EVEN / _STATES if label else chance)
 
     ratios = []
     for a in range(_STATES):
