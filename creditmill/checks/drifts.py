@@ -184,10 +184,10 @@ def drift_sql(body: str, **ctes: str) -> str:
     return with_roles(body, "prediction_log", **SIDES, both_=_BOTH, **ctes)
 
 
-def tested(spark, sf, exact=False):
+def tested(spark, sf, method="asymptotic"):
     reference, current = sides(spark, sf)
     shared = A.common_columns([c for c in FEATURES if c in reference.columns], current.columns)
-    return D.ks_test(reference, current, A.filled_columns(reference, current, shared), exact=exact)
+    return D.ks_test(reference, current, A.filled_columns(reference, current, shared), method=method)
 
 
 @query("ks_features", drift_sql(TESTED_SQL), ["statistic", "score"])
@@ -197,7 +197,7 @@ def ks_features(spark, sf):
 
 @query("ks_features_exact")
 def ks_features_exact(spark, sf):
-    return tested(spark, sf, exact=True)
+    return tested(spark, sf, method="exact")
 
 
 @query("drift_common_columns", drift_sql(
@@ -306,7 +306,7 @@ def importance_topk(spark, sf):
 @query("critical_features", drift_sql("""
     SELECT rank, feature, round_even(importance, 4) AS importance,
       CASE WHEN detected THEN 'detected' WHEN NOT detected THEN 'stable' ELSE 'unknown' END AS status, score,
-      coalesce(method, '-') AS stattest FROM top_ LEFT JOIN tested_ USING (feature) WHERE rank <= 10""",
+      coalesce(method, '—') AS stattest FROM top_ LEFT JOIN tested_ USING (feature) WHERE rank <= 10""",
     **_IMPORTANCE_CTES), ["importance", "score"])
 def critical_features(spark, sf):
     return D.critical_features(importance_topk(spark, sf), tested(spark, sf))

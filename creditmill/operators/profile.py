@@ -60,13 +60,5 @@ def vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             .distinct().orderBy("column", "value"))
 
 
-def vocabulary_lists(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """The vocabulary as the artefact the encoders take; a category has a short list of values."""
-    found: dict[str, list[str]] = {c: [] for c in columns}
-    for row in vocabulary(df, columns).collect():
-        found[row["column"]].append(row["value"])
-    return found
-
-
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))

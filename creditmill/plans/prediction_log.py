@@ -72,8 +72,11 @@ def log_rows(calls: DataFrame) -> DataFrame:
 
 # --- windows and samples of the log -----------------------------------------------------------
 def since(log: DataFrame, hours: int, now: Column | None = None) -> DataFrame:
+    """Rows of the trailing window; a log with days is read from the first day of the window on."""
     now = F.current_timestamp() if now is None else now
-    return log.where(F.col("timestamp") >= now - F.expr(f"INTERVAL {int(hours)} HOURS"))
+    start = now - F.expr(f"INTERVAL {int(hours)} HOURS")
+    rows = log.where(F.col("log_date") >= F.to_date(start)) if "log_date" in log.columns else log
+    return rows.where(F.col("timestamp") >= start)
 
 
 def newest(log: DataFrame) -> DataFrame:
@@ -105,16 +108,16 @@ def current_features(log: DataFrame, limit: int, keep_alive: int = KEEP_ALIVE_CL
 
 # --- reports ----------------------------------------------------------------------------------
 def summary(log: DataFrame, hours: int, now: Column | None = None) -> DataFrame:
-    """One row of counts, exact latency percentiles and the mean probability."""
+    """One row of counts, exact latency percentiles and the mean probability; an empty window has a row of zeros."""
     rows = since(log, hours, now).withColumn("_all", F.lit(1))
-    counts = rows.groupBy("_all").agg(
+    counts = rows.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("status_code") == OK_STATUS).alias("ok"),
         F.count_if(F.col("status_code") != OK_STATUS).alias("errors"),
         F.count_if(F.col("decision") == "GRANTED").alias("granted"),
         F.count_if(F.col("decision") == "REFUSED").alias("refused"),
         F.count_if(~F.col("client_known")).alias("unknowns"),
-        F.avg("probability_default").alias("avg_proba"))
+        F.avg("probability_default").alias("avg_proba")).withColumn("_all", F.lit(1))
     spread = quantiles(rows, ["_all"], {c: col(c) for c in REPORT_TIMINGS.values()}, HALVES)
     renamed = spread.select("_all", *[col(f"{c}_{p}").alias(f"{name}{p}")
                                       for name, c in REPORT_TIMINGS.items() for p in HALVES])

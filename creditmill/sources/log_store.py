@@ -40,15 +40,17 @@ def create_log(spark: SparkSession, path: str, truncate: bool = False) -> None:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(DAY)
+    """The log with its day, by which trailing windows leave out whole folders."""
+    return spark.read.parquet(path)
 
 
 def latest_versions(versions: DataFrame, key: str, version: str) -> DataFrame:
-    """One row per key, the one with the highest version.
+    """One row per key, the one with the highest version; of equal versions the one with the largest row hash.
 
     An aggregate, not a row number: versions of a key written very often are reduced before the shuffle.
     """
-    newest = F.max_by(F.struct(*[col(c) for c in versions.columns]), col(version)).alias("row")
+    order = F.struct(col(version), F.xxhash64(*[col(c) for c in versions.columns]))
+    newest = F.max_by(F.struct(*[col(c) for c in versions.columns]), order).alias("row")
     return versions.groupBy(key).agg(newest).select("row.*")
 
 

@@ -22,9 +22,19 @@ def without_nan(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, limit: int | None = None) -> DataFrame:
-    """CSV with header; columns are matched by name order of the schema, empty cells are missing."""
-    df = without_nan(spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path))
-    return df if limit is None else df.limit(limit)
+    """CSV with header; the columns of ``schema`` by name, in any order and among others; empty cells are missing.
+
+    The header names the file's columns: known ones get their type, others are read as text and left out. ``limit``
+    takes the first rows by the leading column, so every run reads the same ones.
+    """
+    header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    known = {f.name: f for f in schema.fields}
+    absent = [n for n in known if n not in header]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    found = T.StructType([T.StructField(n, known[n].dataType if n in known else T.StringType()) for n in header])
+    df = without_nan(spark.read.schema(found).option("header", True).csv(path).select(*[col(n) for n in known]))
+    return df if limit is None else first_rows(df, limit, schema.names[0])
 
 
 def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:

@@ -132,7 +132,7 @@ def test_log_defaults_and_truncate(spark):
     rows = LS.read_log(spark, path).collect()
     assert len(rows) == 2 and len({r.id for r in rows}) == 2
     assert all(r.status_code == 200 and r.timestamp is not None for r in rows)
-    assert set(LS.read_log(spark, path).columns) == set(S.PREDICTION_LOG.fieldNames())
+    assert set(LS.read_log(spark, path).columns) == {*S.PREDICTION_LOG.fieldNames(), LS.DAY}
 
 
 def test_latest_version_of_a_hot_id(spark):
@@ -192,3 +192,39 @@ def test_stream_drops_retries(spark):
     calls(spark, 90, 20).coalesce(1).write.mode("append").parquet(folder)  # ten are sent again
     J.append_to(J.without_retries(J.file_stream(spark, folder, calls(spark, 0, 1).schema), "id"), out)
     assert spark.read.parquet(out).count() == 110
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "pos.csv"
+    names = [f.name for f in S.POS_CASH.fields]
+    rows = [{n: k for n in names} | {"NAME_CONTRACT_STATUS": "Active", "OTHER": "x"} for k in (3, 1, 2)]
+    header = [*reversed(names), "OTHER"]
+    path.write_text("\n".join([",".join(header), *(",".join(str(r[n]) for n in header) for r in rows)]) + "\n")
+    got = T.read_csv(spark, str(path), S.POS_CASH)
+    assert got.columns == names and got.schema["SK_DPD"] == S.POS_CASH["SK_DPD"]
+    assert sorted(r.SK_DPD for r in got.collect()) == [1, 2, 3]
+    assert [r.SK_DPD for r in T.read_csv(spark, str(path), S.POS_CASH, limit=2).collect()] == [1, 2]
+    path.write_text("SK_ID_PREV,OTHER\n1,2\n")
+    with pytest.raises(ValueError, match="SK_ID_CURR"):
+        T.read_csv(spark, str(path), S.POS_CASH)
+
+
+def test_trailing_window_skips_days_and_reports_an_empty_window(spark, tmp_path):
+    path, now = str(tmp_path / "log"), F.to_timestamp(F.lit("2024-01-30 12:00:00"))
+    log = spark.range(30).select(
+        F.timestamp_add("DAY", F.col("id").cast("int"), F.to_timestamp(F.lit("2024-01-01 10:00:00"))).alias("timestamp"),
+        F.lit(200).alias("status_code"), F.lit("GRANTED").alias("decision"), F.lit(True).alias("client_known"),
+        F.lit(0.1).alias("probability_default"), *[F.lit(5).alias(c) for c in S.TIMINGS])
+    LS.append_log(LS.with_defaults(log), path)
+    window = L.since(LS.read_log(spark, path), 24, now)
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and "log_date" in plan.split("PartitionFilters:")[1][:120]
+    assert window.count() == 1
+    empty = L.summary(LS.read_log(spark, path), 24, F.to_timestamp(F.lit("2030-01-01 00:00:00"))).collect()
+    assert len(empty) == 1 and empty[0].total == 0 and empty[0].avg_proba is None
+
+
+def test_equal_versions_have_one_winner(spark):
+    rows = spark.createDataFrame([(1, 7, c) for c in "abcdef"], "id long, version long, value string")
+    winners = {LS.latest_versions(rows.repartition(k), "id", "version").first().value for k in (1, 2, 3, 5)}
+    assert len(winners) == 1

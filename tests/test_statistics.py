@@ -152,7 +152,7 @@ def test_report_defaults(spark):
             '{"metric_name": "m", "config": {"type": "x:Other"}, "value": 1},'
             '{"metric_name": "m", "config": {"column": "b", "type": "x:ValueDrift", "method": "chi"}, "value": 0.01}]}')
     got = {r.feature: r for r in D.parse_report(spark.createDataFrame([(text,)], "report string")).collect()}
-    assert got["a"].detected is None and got["a"].threshold == 0.05 and got["a"].stattest == "-"
+    assert got["a"].detected is None and got["a"].threshold == 0.05 and got["a"].stattest == "—"
     assert got["b"].detected and got["b"].stattest == "chi"
 
 
