@@ -13,6 +13,9 @@ from creditmill.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key that holds more than one part in so many of all rows is split.
 HOT_SHARE = 1000
+#: Size of a broadcast bit map, as a power of two: 2^26 bits are 8 MB, whatever the number of keys.
+MAP_BITS = 26
+_ROW_BITS = 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,16 +74,47 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
     return left.join(right, [*keys, piece]).drop(piece)
 
 
-def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column], repeated: bool) -> DataFrame:
+def _slot(keys: Sequence[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
+
+
+def bit_map(rows: DataFrame, keys: Sequence[str], bits: int = MAP_BITS) -> DataFrame:
+    """(bucket, map): one bit for each hash of ``keys``, in at most 2^(bits - 15) rows of 4 KB."""
+    slot = rows.select(_slot(keys, bits).alias("slot")).select(
+        F.shiftright("slot", _ROW_BITS).alias("bucket"), F.col("slot").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("at"))
+    return slot.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map"))
+
+
+def with_maybe(rows: DataFrame, keys: Sequence[str], found: DataFrame, name: str, bits: int = MAP_BITS) -> DataFrame:
+    """``rows`` with a boolean ``name``: false if no row of ``found``, a ``bit_map``, has the row's keys.
+
+    It spares rows a shuffle that would not find them. More keys than bits only make it true more often; an exact step
+    must follow. Key columns need the types they had in ``bit_map``.
+    """
+    slot, bucket, held = (fresh(rows, f"{name}_{part}") for part in ("slot", "bucket", "map"))
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.shiftright(slot, 3).bitwiseAND(F.lit(4095)) + 1).cast("int"), F.lit(1))),
+                  16, 10).cast("int")
+    bit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]),
+                                       (F.col(slot).bitwiseAND(F.lit(7)) + 1).cast("int"))) != 0
+    return (rows.withColumn(slot, _slot(keys, bits)).withColumn(bucket, F.shiftright(slot, _ROW_BITS))
+            .join(F.broadcast(found.toDF(bucket, held)), bucket, "left")
+            .withColumn(name, F.coalesce(bit, F.lit(False))).drop(slot, bucket, held))
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column], repeated: bool, bits: int = MAP_BITS) -> DataFrame:
     """The rows of ``docs`` whose keys (name in ``dropped``: expression over ``docs``) are not in ``dropped``.
 
-    Missing keys match missing keys. With ``repeated``, one of several rows with equal keys stays.
+    Missing keys match missing keys. With ``repeated``, one of several rows with equal keys stays. Rows that a bit map
+    of the dropped keys tells apart stay where they are; only the others are shuffled to be compared. ``dropped``
+    should be a written table, as it is read twice.
     """
     named = {fresh(docs, f"key_{k}"): v for k, v in keys.items()}
     left = docs.withColumns(named)
+    maybe = fresh(left, "maybe")
+    left = with_maybe(left, list(named), bit_map(dropped, list(keys), bits), maybe, bits)
     right = dropped.select(*[F.col(k).alias(f"{n}r") for k, n in zip(keys, named)])
     condition = [F.col(n).eqNullSafe(F.col(f"{n}r")) for n in named]
-    left = left.join(right, condition, "left_anti")
+    left = left.where(~F.col(maybe)).union(left.where(maybe).join(right, condition, "left_anti")).drop(maybe)
     if repeated:
         left = left.dropDuplicates(list(named))
     return left.drop(*named)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import fresh, spread_join, text_of, without, written
+from creditmill.llm.common import bit_map, fresh, spread_join, text_of, with_maybe, without, written
 
 PRIME = (1 << 61) - 1
 BASE = 1_000_003
@@ -82,18 +82,23 @@ def fingerprints(docs: DataFrame, base: int = BASE, prime: int = PRIME, chunk: i
                        F.pmod(own, F.lit(prime).cast("decimal(38,0)")).cast("long").alias("fp"))
 
 
-def _unequal(docs: DataFrame, marks: DataFrame, shared: DataFrame, chunk: int) -> DataFrame:
+def _unequal(docs: DataFrame, marks: DataFrame, shared: DataFrame, base: int, prime: int, chunk: int) -> DataFrame:
     """(fp, n_bytes) of the ``shared`` fingerprints behind which the texts differ.
 
-    Only documents with a shared fingerprint are read again. At every chunk position the least and the greatest chunk
-    of a group must agree; both are kept by each task before the shuffle, so a large group sends few rows.
+    A bit map of the digests behind shared fingerprints lets the scan pass over all other texts; those that remain get
+    their fingerprint again where they are read, which is cheaper than joining it to them. At every chunk position the
+    least and the greatest chunk of a group must agree; both are kept by each task before the shuffle, so a large
+    group sends few rows.
     """
-    members = written(spread_join(marks, shared, ["fp", "n_bytes"], "n", ["doc_id", "sha"])
-                      .select("doc_id", "sha", "fp", "n_bytes"), "members")
-    texts = docs.select(F.col("doc_id").alias("id"), text_of().cast("binary").alias("raw")).withColumn(
-        "digest", F.unhex(F.sha2("raw", 256)))
-    found = texts.join(members, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("sha")))
-    pieces = found.select("fp", "n_bytes", F.explode(_chunks("raw", chunk)).alias("c")).select(
+    @F.pandas_udf("bigint")
+    def whole(raw: pd.Series) -> pd.Series:
+        return pd.Series([polynomial(r, base, prime) for r in raw], dtype="int64")
+
+    members = spread_join(marks, shared, ["fp", "n_bytes"], "n", ["doc_id", "sha"]).select("sha")
+    known = written(bit_map(members, ["sha"]), "members")
+    texts = docs.select(text_of().cast("binary").alias("raw")).withColumn("sha", F.unhex(F.sha2("raw", 256)))
+    found = with_maybe(texts, ["sha"], known, "maybe").where("maybe").select("raw", whole("raw").alias("fp"))
+    pieces = found.select("fp", F.octet_length("raw").alias("n_bytes"), F.explode(_chunks("raw", chunk)).alias("c")).select(
         "fp", "n_bytes", F.col("c.at").alias("at"), F.col("c.piece").alias("piece"))
     return (pieces.groupBy("fp", "n_bytes", "at").agg(F.min("piece").alias("low"), F.max("piece").alias("high"))
             .where("low <> high").select("fp", "n_bytes").distinct())
@@ -108,7 +113,7 @@ def duplicates(docs: DataFrame, base: int = BASE, prime: int = PRIME, chunk: int
     """
     marks = written(fingerprints(docs, base, prime, chunk), "fingerprints")
     shared = written(marks.groupBy("fp", "n_bytes").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    unequal = written(_unequal(docs, marks, shared, chunk), "unequal")
+    unequal = written(_unequal(docs, marks, shared, base, prime, chunk), "unequal")
     parted = marks.withColumn("part", F.lit(None).cast("binary"))
     if not unequal.isEmpty():
         parted = marks.join(unequal.withColumn("split", F.lit(True)), ["fp", "n_bytes"], "left").withColumn(
@@ -133,5 +138,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = written(duplicates(docs), "duplicates")
     repeated = not found.where("copies > 1").isEmpty()
     name = fresh(docs, "sha")
-    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumnRenamed("sha", name),
-                   {"doc_id": F.col("doc_id"), name: F.unhex(F.sha2(text_of().cast("binary"), 256))}, repeated)
+    dropped = written(found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumnRenamed("sha", name), "dropped")
+    return without(docs, dropped, {"doc_id": F.col("doc_id"), name: F.unhex(F.sha2(text_of().cast("binary"), 256))}, repeated)

@@ -167,4 +167,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
         again = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumnRenamed(
             "component_id", "c").join(twice, F.col("c").eqNullSafe(F.col("component_id")))
         dropped = dropped.union(again.where("t_hash <> stays").select("doc_id", "t_hash"))
-    return without(docs, dropped, {"doc_id": F.col("doc_id"), "t_hash": F.xxhash64(text_of())}, repeated)
+    return without(docs, written(dropped, "dropped"), {"doc_id": F.col("doc_id"), "t_hash": F.xxhash64(text_of())}, repeated)

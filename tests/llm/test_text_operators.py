@@ -25,7 +25,7 @@ from creditmill.llm import (
     substring_dedup,
     url_filter,
 )
-from creditmill.llm.common import components, fresh, spread_join, written
+from creditmill.llm.common import bit_map, components, fresh, spread_join, with_maybe, without, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, row long, h long, t string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,6 +96,24 @@ def test_components_agree_with_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("bits", [15, 16, 26])
+def test_rows_without_dropped_keys(spark, bits):
+    rows = [(k % 3000 if k % 7 else None, f"t{k % 11}") for k in range(6000)] + [(5, None), (None, None)]
+    gone = [(k, f"t{k % 11}") for k in range(0, 3000, 3)] + [(None, "t0"), (None, None)]
+    docs, dropped = spark.createDataFrame(rows, "doc_id long, maybe string"), spark.createDataFrame(gone, "doc_id long, key string")
+    known = bit_map(dropped, ["doc_id", "key"], bits)
+    flags = with_maybe(docs, ["doc_id", "maybe"], known, "seen", bits).collect()
+    assert all(seen for *row, seen in flags if tuple(row) in set(gone))
+    assert known.count() <= 1 << (bits - 15)
+    if bits == 26:
+        assert sum(seen for *row, seen in flags if tuple(row) not in set(gone)) < 60
+    left = without(docs, dropped, {"doc_id": F.col("doc_id"), "key": F.col("maybe")}, False, bits)
+    assert left.columns == docs.columns
+    assert Counter(map(tuple, left.collect())) == Counter(r for r in rows if r not in set(gone))
+    empty = without(docs, dropped.limit(0), {"doc_id": F.col("doc_id"), "key": F.col("maybe")}, False, bits)
+    assert empty.count() == len(rows)
+
+
 def test_fresh_name(docs):
     assert fresh(docs, "H") == "H_"
 
