@@ -11,30 +11,33 @@ from pyspark.sql import functions as F
 from creditmill.functions.names import col
 
 HOT_SHARE = 0.001
-SALTS = 64
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold at least ``share`` of the rows. There can be no more than 1/share of them."""
+    """Keys that hold at least ``share`` of the rows, and ``_pieces`` of that size they make.
+
+    There can be no more than 1/share keys, and no more than 2/share pieces in all.
+    """
     counts = df.where(col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    return counts.where(F.col("_rows") >= F.greatest(F.lit(1000), share * total)).select(key)
+    least = F.greatest(F.lit(1000), share * counts.agg(F.sum("_rows")).scalar())
+    return counts.where(F.col("_rows") >= least).select(key, F.ceil(F.col("_rows") / least).cast("int").alias("_pieces"))
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, row_id: str) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """``left`` with the columns of ``right`` (unique on ``key``); unmatched rows get NULLs.
 
-    Rows of a hot key are spread over ``SALTS`` partitions by their ``row_id`` and the one matching row
-    of ``right`` is repeated for each of them. The broadcast list of hot keys has at most 1/HOT_SHARE
-    rows. A missing key never matches and is spread as well.
+    Rows of a hot key are cut into pieces by a hash of the whole row, and the one matching row of ``right`` is
+    repeated for each piece. The broadcast list of hot keys has at most 1/HOT_SHARE rows. A missing key never matches
+    and is spread by the same hash. Rows equal in every column go together.
     """
-    hot = F.broadcast(hot_keys(left, key).withColumn("_hot", F.lit(True)))
-    salt = F.pmod(F.xxhash64(col(row_id)), F.lit(SALTS)).cast("int")
+    hot = F.broadcast(hot_keys(left, key))
+    own = F.xxhash64(*[col(c) for c in left.columns])
+    piece = F.coalesce(F.pmod(own, F.col("_pieces")), F.lit(0).cast("long"))
     spread_left = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | col(key).isNull(), salt).otherwise(F.lit(0))).drop("_hot")
+        "_salt", F.when(col(key).isNull(), own).otherwise(piece)).drop("_pieces")
+    last = (F.coalesce("_pieces", F.lit(1)) - 1).cast("long")
     spread_right = right.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-                           .otherwise(F.array(F.lit(0))))).drop("_hot")
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_pieces")
     return spread_left.join(spread_right, [key, "_salt"], "left").drop("_salt")
 
 

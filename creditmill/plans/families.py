@@ -101,9 +101,9 @@ def attach_balance(bureau: DataFrame, balance: DataFrame) -> DataFrame:
     other side it is always 0, written so that the optimizer keeps it as a join key.
     """
     credit = F.col("SK_ID_BUREAU")
-    per_credit = BALANCE.apply(balance, "SK_ID_BUREAU").withColumn("_spread", F.pmod(credit, F.lit(1)).cast("int"))
-    spread = F.when(credit.isNull(), F.pmod(F.xxhash64(*bureau.columns), F.lit(64)).cast("int"))
-    return (bureau.withColumn("_spread", F.coalesce(spread, F.lit(0)))
+    per_credit = BALANCE.apply(balance, "SK_ID_BUREAU").withColumn("_spread", F.pmod(credit, F.lit(1)).cast("long"))
+    spread = F.when(credit.isNull(), F.xxhash64(*bureau.columns))
+    return (bureau.withColumn("_spread", F.coalesce(spread, F.lit(0).cast("long")))
             .join(per_credit, ["SK_ID_BUREAU", "_spread"], "left").drop("_spread"))
 
 

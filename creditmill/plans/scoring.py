@@ -33,7 +33,7 @@ def assemble(requests: DataFrame, store: DataFrame, contract: Sequence[str] | No
                               *application_columns([c for c in requests.columns if c not in keep]))
     wanted = [c for c in store_columns if c in set(contract) and c not in set(encoded.columns)]
     history = store.select(KEY, *[col(c) for c in wanted], F.lit(True).alias(KNOWN))
-    joined = lookup_join(encoded, history, KEY, request_id)
+    joined = lookup_join(encoded, history, KEY)
     known = f"coalesce({KNOWN}, false)"
     from_store, have = set(wanted), set(encoded.columns)
 

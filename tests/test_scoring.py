@@ -164,8 +164,41 @@ def test_lookup_join_with_hot_and_missing_keys(spark):
     right = spark.range(0, 20000, 2).selectExpr("id AS k", "id * 10 AS v").union(
         spark.createDataFrame([(7, 70)], "k long, v long"))
     assert [r.k for r in hot_keys(left, "k").collect()] == [7]
-    out = lookup_join(left, right, "k", "id")
+    out = lookup_join(left, right, "k")
     assert out.count() == 20000
     expected = left.join(right, "k", "left")
     assert sorted(map(tuple, out.select("id", "k", "v").collect()), key=lambda r: r[0]) == \
         sorted(map(tuple, expected.select("id", "k", "v").collect()), key=lambda r: r[0])
+
+
+@pytest.fixture
+def fixed_plans(spark):
+    """Shuffled joins into as many tasks as set, so that rows per task can be counted."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_and_missing_keys_spread(spark, fixed_plans):
+    left = spark.range(20000).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id END AS k")
+    right = spark.range(1, 20000, 2).selectExpr("id AS k", "id * 10 AS v")
+    out = lookup_join(left, right, "k").withColumn("task", F.spark_partition_id())
+    loads = out.where("k = 7 OR k IS NULL").groupBy("k").agg(F.count_distinct("task").alias("tasks")).collect()
+    tasks = {r.k: r.tasks for r in loads}
+    assert tasks[7] > 2 and tasks[None] == 8
+
+
+def test_assemble_spreads_hot_and_missing_clients(spark, fixed_plans):
+    requests = request(spark).crossJoin(spark.range(8000)).withColumn("AMT_INCOME_TOTAL", F.col("id").cast("double"))
+    requests = requests.withColumn("SK_ID_CURR", F.when(F.col("id") % 2 == 0, F.col("SK_ID_CURR"))).drop("id")
+    store = request(spark).select("SK_ID_CURR").withColumn("POS_COUNT", F.lit(3.0))
+    out = SC.assemble(requests, store, ["POS_COUNT", "AMT_INCOME_TOTAL"]).withColumn("task", F.spark_partition_id())
+    loads = {r.client_known: r for r in out.groupBy("client_known").agg(
+        F.count_distinct("task").alias("tasks"), F.sum("POS_COUNT").alias("total"), F.count("*").alias("n")).collect()}
+    assert loads[True].tasks > 1 and loads[False].tasks == 8
+    assert loads[True].n == loads[False].n == 4000 and loads[True].total == 12000.0
