@@ -173,10 +173,16 @@ _LAMBDA = "statistic * sqrt(CAST(ref_n AS DOUBLE) * cur_n / (ref_n + cur_n))"
 _TAIL = "2 * list_sum([(CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * z * z) FOR j IN range(1, 61)])"
 _BODY = ("1 - sqrt(2 * pi()) / z * list_sum([exp(-(2.0 * j - 1) * (2.0 * j - 1) * pi() * pi() / (8.0 * z * z)) "
          "FOR j IN range(1, 61)])")
-TESTED_SQL = f"""SELECT feature, 'K-S p_value' AS method, statistic, ref_n, cur_n, score,
+
+
+def tested_sql(features, source="both_"):
+    return f"""SELECT feature, 'K-S p_value' AS method, statistic, ref_n, cur_n, score,
     CAST(0.05 AS DOUBLE) AS threshold, score < 0.05 AS detected
     FROM (SELECT *, greatest(0, least(1, CASE WHEN z < 0.04 THEN 1 WHEN z < 1.18 THEN {_BODY} ELSE {_TAIL} END)) AS score
-      FROM (SELECT *, {_LAMBDA} AS z FROM ({statistic_sql(_TESTED)})))"""
+      FROM (SELECT *, {_LAMBDA} AS z FROM ({statistic_sql(features, source)})))"""
+
+
+TESTED_SQL = tested_sql(_TESTED)
 _BOTH = "SELECT 'ref' AS side, * FROM ref UNION ALL SELECT 'cur' AS side, * FROM cur"
 
 
@@ -236,19 +242,19 @@ _SCORES = """SELECT CASE WHEN timestamp < TIMESTAMP '2024-01-15' THEN 'ref' ELSE
 
 
 @query("ks_output", with_roles(f"""
-    SELECT statistic, ref_n, cur_n, avg(p) FILTER (WHERE side = 'ref') AS ref_mean,
+    SELECT statistic, ref_n, cur_n, score, detected, avg(p) FILTER (WHERE side = 'ref') AS ref_mean,
       avg(p) FILTER (WHERE side = 'cur') AS cur_mean,
       round(avg(p) FILTER (WHERE side = 'cur') - avg(p) FILTER (WHERE side = 'ref'), 9) AS delta
-    FROM scores CROSS JOIN ({statistic_sql(['p'], 'scores')}) GROUP BY ALL""", "prediction_log", scores=_SCORES),
-    ["statistic", "ref_mean", "cur_mean", "delta"])
+    FROM scores CROSS JOIN ({tested_sql(['p'], 'scores')}) GROUP BY ALL""", "prediction_log", scores=_SCORES),
+    ["statistic", "score", "ref_mean", "cur_mean", "delta"])
 def ks_output(spark, sf):
     rows = log(spark, sf).where(F.col("probability_default").isNotNull())
     cut = F.lit(CUT).cast("timestamp_ntz")
     reference, current = rows.where(F.col("timestamp") < cut), rows.where(F.col("timestamp") >= cut)
-    test = D.ks_statistics(reference, current, ["probability_default"])
+    test = D.ks_test(reference, current, ["probability_default"])
     means = D.mean_shift(reference, current, "probability_default")
     return test.join(means.withColumn("feature", F.lit("probability_default")), "feature").select(
-        "statistic", "ref_n", "cur_n", "ref_mean", "cur_mean", F.round("delta", 9).alias("delta"))
+        "statistic", "ref_n", "cur_n", "score", "detected", "ref_mean", "cur_mean", F.round("delta", 9).alias("delta"))
 
 
 # --- report and verdicts ----------------------------------------------------------------------------

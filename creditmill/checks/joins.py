@@ -166,10 +166,8 @@ def score_assemble(spark, sf):
 
 
 def scored(spark, sf, keep=()):
-    """Requests against the installments family, scored with the test scorer."""
-    store = P.installments_family(role(spark, sf, "installments_payments"))
-    # the test scorer reads two features; a model would take the whole contract
-    assembled = SC.assemble(role(spark, sf, "request"), store, ["AMT_INCOME_TOTAL", "AMT_CREDIT", *keep])
+    """Requests with the whole contract from the whole store, scored with the test scorer."""
+    assembled = SC.assemble(role(spark, sf, "request"), FST.feature_store(child_tables(spark, sf)))
     return SC.respond(assembled, SC.income_credit_score(), MODEL, keep)
 
 
@@ -177,18 +175,16 @@ _P = ("greatest(0, least(1, 1 - CAST(CAST(coalesce(AMT_INCOME_TOTAL, 0) AS FLOAT
       "greatest(CAST(CAST(coalesce(AMT_CREDIT, 1) AS FLOAT) AS DOUBLE), 1)))")
 SCORED_SQL = f"SELECT *, CASE WHEN p >= {0.33} THEN 'REFUSED' ELSE 'GRANTED' END AS d FROM " \
              f"(SELECT *, {_P} AS p FROM request)"
-_HISTORY = ["INSTAL_PAYMENT_PERC_MAX", "INSTAL_DPD_SUM", "INSTAL_COUNT"]
 
 
 @query("score_batch", with_roles(f"""
-    SELECT r.{K} AS sk_id_curr, {_finite('s."INSTAL_PAYMENT_PERC_MAX"')} AS "INSTAL_PAYMENT_PERC_MAX",
-      s."INSTAL_DPD_SUM", CASE WHEN s.{K} IS NULL THEN 0 ELSE s."INSTAL_COUNT" END AS "INSTAL_COUNT",
+    SELECT request.{K} AS sk_id_curr, {_contract_sql('request')},
       p AS probability_default, d AS decision, CAST(0.33 AS DOUBLE) AS threshold, '2' AS model_version,
       s.{K} IS NOT NULL AS client_known
-    FROM ({SCORED_SQL}) r LEFT JOIN store s ON s.{K} = r.{K}""", "request", store=FS.installments_sql()),
-    ["probability_default", *_HISTORY])
+    FROM ({SCORED_SQL}) request LEFT JOIN store s ON s.{K} = request.{K}""", "request", store=FS.store_sql()),
+    ["probability_default", *C.feature_names()])
 def score_batch(spark, sf):
-    return scored(spark, sf, _HISTORY)
+    return scored(spark, sf, C.feature_names())
 
 
 @query("decide", with_roles(f"SELECT {K} AS sk_id_curr, p AS probability_default, d AS decision FROM ({SCORED_SQL})",
@@ -220,8 +216,8 @@ def score_external(spark, sf):
 
 
 @query("client_known", with_roles(f"""
-    SELECT r.{K} AS sk_id_curr, r.{K} IN (SELECT {K} FROM installments_payments) AS client_known
-    FROM request r""", "request", "installments_payments"))
+    SELECT r.{K} AS sk_id_curr, s.{K} IS NOT NULL AS client_known
+    FROM request r LEFT JOIN store s ON s.{K} = r.{K}""", "request", store=FS.store_sql()))
 def client_known(spark, sf):
     return scored(spark, sf).select("sk_id_curr", "client_known")
 
@@ -235,20 +231,15 @@ def validate_scores(spark, sf):
     return VA.broken_per_rule(scored(spark, sf), VA.score_rules())
 
 
-_JSON = ["AMT_CREDIT", "AMT_INCOME_TOTAL", "EXT_SOURCE_1", "INSTAL_PAYMENT_PERC_MAX"]
-
-
 @query("features_to_json", with_roles(f"""
-    SELECT r.{K}, AMT_CREDIT, AMT_INCOME_TOTAL, EXT_SOURCE_1,
-      {_finite('s."INSTAL_PAYMENT_PERC_MAX"')} AS "INSTAL_PAYMENT_PERC_MAX", CAST(4 AS INT) AS fields
-    FROM request r LEFT JOIN store s ON s.{K} = r.{K}""", "request", store=FS.installments_sql()),
-    ["INSTAL_PAYMENT_PERC_MAX"])
+    SELECT request.{K}, {_contract_sql('request')}, CAST({len(C.feature_names())} AS INT) AS fields
+    FROM request LEFT JOIN store s ON s.{K} = request.{K}""", "request", store=FS.store_sql()),
+    C.feature_names())
 def features_to_json(spark, sf):
     # the text of a double differs between engines, so the document is read back
-    store = P.installments_family(role(spark, sf, "installments_payments"))
-    joined = role(spark, sf, "request").join(store, K, "left")
-    doc = joined.select(K, features_json(_JSON).alias("doc"))
-    parsed = F.from_json("doc", ", ".join(f"`{c}` DOUBLE" for c in _JSON))
+    assembled = SC.assemble(role(spark, sf, "request"), FST.feature_store(child_tables(spark, sf)))
+    doc = assembled.select(K, features_json(C.feature_names()).alias("doc"))
+    parsed = F.from_json("doc", ", ".join(f"`{c}` DOUBLE" for c in C.feature_names()))
     return doc.select(K, parsed.alias("p"), F.size(F.json_object_keys("doc")).alias("fields")).select(
         K, "p.*", "fields")
 
@@ -323,15 +314,9 @@ def target_distribution(spark, sf):
     return counts.select(S.LABEL, "count", (F.col("count") / counts.agg(F.sum("count")).scalar()).alias("share"))
 
 
-_STORE_COUNTS = ["POS_COUNT", "INSTAL_COUNT", "CC_COUNT"]
-
-
 @query("no_history_template", with_roles(f"""
-    SELECT {K}, CASE WHEN {K} IN (SELECT {K} FROM POS_CASH_balance) THEN NULL ELSE 0 END AS "POS_COUNT",
-      CAST(NULL AS DOUBLE) AS "POS_MONTHS_BALANCE_SIZE" FROM request
-    WHERE {K} NOT IN (SELECT {K} FROM POS_CASH_balance)""", "request", "POS_CASH_balance"))
+    SELECT request.{K}, {_contract_sql('request')} FROM request LEFT JOIN store s ON s.{K} = request.{K}
+    WHERE s.{K} IS NULL""", "request", store=FS.store_sql()), C.feature_names())
 def no_history_template(spark, sf):
-    store = P.pos_family(role(spark, sf, "POS_CASH_balance"))
-    assembled = SC.assemble(role(spark, sf, "request"), store, ["POS_COUNT", "POS_MONTHS_BALANCE_SIZE"])
-    return assembled.where(~F.col("client_known")).select(
-        K, F.col("POS_COUNT").cast("int").alias("POS_COUNT"), "POS_MONTHS_BALANCE_SIZE")
+    assembled = SC.assemble(role(spark, sf, "request"), FST.feature_store(child_tables(spark, sf)))
+    return assembled.where(~F.col("client_known")).select(K, *[col(c) for c in C.feature_names()])

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from creditmill.checks.joins import MODEL
 from creditmill.checks.registry import SQL, query
-from creditmill.checks.roles import ROLES, role, table, with_roles
-from creditmill.plans import families as P
+from creditmill.checks.roles import ROLES, child_tables, role, table, with_roles
+from creditmill.contract.features import feature_names
 from creditmill.plans import scoring as SC
+from creditmill.plans.feature_store import feature_store
 from creditmill.session import new_table_path
 from creditmill.sources import log_store as LS
 from creditmill.sources.tables import write_parquet
@@ -27,19 +28,15 @@ def log_stream(spark, sf):
     return stream(spark, sf, "events", "prediction_log")
 
 
-_HISTORY = ["INSTAL_PAYMENT_PERC_MAX", "INSTAL_DPD_SUM", "INSTAL_COUNT"]
-
-
 def stream_score(spark, sf):
     store_path, out = new_table_path(spark, "store"), new_table_path(spark, "scores")
-    write_parquet(P.installments_family(role(spark, sf, "installments_payments")), store_path)
+    write_parquet(feature_store(child_tables(spark, sf)), store_path)
     J.score_stream(stream(spark, sf, "customer", "request"), spark.read.parquet(store_path),
-                   lambda rows: SC.respond(rows, SC.income_credit_score(), MODEL, _HISTORY), out,
-                   contract=["AMT_INCOME_TOTAL", "AMT_CREDIT", *_HISTORY])
+                   lambda rows: SC.respond(rows, SC.income_credit_score(), MODEL, feature_names()), out)
     return spark.read.parquet(out).drop("batch")
 
 
-query("stream_score", SQL["score_batch"], ["probability_default", *_HISTORY])(stream_score)
+query("stream_score", SQL["score_batch"], ["probability_default", *feature_names()])(stream_score)
 
 
 @query("stream_log", with_roles("""SELECT id, timestamp, sk_id_curr, latency_ms, status_code, decision,
@@ -54,14 +51,12 @@ def stream_log(spark, sf):
 
 @query("stream_hourly", with_roles("""SELECT date_trunc('hour', timestamp) AS hour, count(*) AS total,
     count(*) FILTER (WHERE status_code <> 200) AS errors, quantile_cont(latency_ms, 0.5) AS p50,
-    quantile_cont(latency_ms, 0.95) AS p95 FROM prediction_log GROUP BY 1
-    HAVING date_trunc('hour', timestamp) + INTERVAL 1 HOUR
-      <= (SELECT max(timestamp) FROM prediction_log) - INTERVAL 1 HOUR""", "prediction_log"), ["p50", "p95"])
+    quantile_cont(latency_ms, 0.95) AS p95 FROM prediction_log GROUP BY 1""", "prediction_log"), ["p50", "p95"])
 def stream_hourly(spark, sf):
-    # only hours the watermark has passed are in the table
-    path = new_table_path(spark, "hourly")
-    J.append_to(J.hourly_counts(log_stream(spark, sf)), path)
-    report = J.hourly_report(spark.read.parquet(path))
+    # the stream closes hours that the watermark has passed, the log gives the open ones
+    log_path, path = new_table_path(spark, "log"), new_table_path(spark, "hourly")
+    J.append_log_stream(log_stream(spark, sf), log_path)
+    report = J.refresh_hourly(log_stream(spark, sf), LS.read_log(spark, log_path), path)
     return report.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 

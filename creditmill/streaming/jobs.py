@@ -69,8 +69,33 @@ def hourly_counts(calls: DataFrame) -> DataFrame:
             .select(F.col("window.start").alias("hour"), "latency_ms", "n", "errors"))
 
 
+def open_hours(log: DataFrame, closed: DataFrame) -> DataFrame:
+    """Counts like those of ``hourly_counts`` for the hours after the last closed one, from the log.
+
+    Hours close in order, so no later hour is in ``closed``; while none is closed, all are open. A log with days is
+    read from the day of the last closed hour on.
+    """
+    last = closed.agg(F.max("hour")).scalar()
+    rows = log.where(last.isNull() | (F.col(DAY) >= F.to_date(last))) if DAY in log.columns else log
+    rows = rows.where(last.isNull() | (F.col("timestamp") >= last + F.expr("INTERVAL 1 HOUR")))
+    return (rows.groupBy(F.date_trunc("hour", F.col("timestamp")).alias("hour"), "latency_ms")
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status_code") != OK_STATUS).alias("errors")))
+
+
+def refresh_hourly(calls: DataFrame, log: DataFrame, path: str) -> DataFrame:
+    """Close the hours that the calls so far allow, then report all hours; run again at each refresh.
+
+    ``path`` keeps the counts of closed hours, ``log`` is the table that ``append_log_stream`` fills from the same
+    calls. A call that comes after its hour was closed is not in the report.
+    """
+    counts = hourly_counts(calls)
+    append_to(counts, path)
+    closed = calls.sparkSession.read.schema(counts.schema).parquet(path)
+    return hourly_report(closed.unionByName(open_hours(log, closed)))
+
+
 def hourly_report(counts: DataFrame) -> DataFrame:
-    """The hourly report from the table that ``hourly_counts`` fills."""
+    """The hourly report from counts such as those of ``hourly_counts``."""
     totals = counts.groupBy("hour").agg(F.sum("n").alias("total"), F.sum("errors").alias("errors"))
     spread = counted_quantiles(counts, ["hour"], {"latency": col("latency_ms")}, HALVES, F.col("n"))
     return (totals.join(spread, "hour", "left")

@@ -185,6 +185,19 @@ def test_stream_resumes_and_matches_batch(spark):
         assert tuple(report[hour]) == tuple(batch[hour].asDict()[c] for c in report[hour].__fields__)
 
 
+def test_refreshed_report_has_open_hours(spark):
+    folder, out = new_table_path(spark, "calls"), new_table_path(spark, "hours")
+    for start, n in ((0, 20), (20, 580), (600, 600)):  # nothing is closed after the first
+        calls(spark, start, n).coalesce(1).write.mode("append").parquet(folder)
+        stream = J.file_stream(spark, folder, calls(spark, 0, 1).schema)
+        log = spark.read.parquet(folder).withColumn("log_date", F.to_date("timestamp"))
+        report = {r.hour: r for r in J.refresh_hourly(stream, log, out).collect()}
+        batch = {r.hour: r for r in L.hourly(calls(spark, 0, start + n), 10**5).collect()}
+        assert set(report) == set(batch)
+        for hour in report:
+            assert tuple(report[hour]) == tuple(batch[hour].asDict()[c] for c in report[hour].__fields__)
+
+
 def test_stream_drops_retries(spark):
     folder, out = new_table_path(spark, "calls"), new_table_path(spark, "intake")
     calls(spark, 0, 100).coalesce(1).write.mode("append").parquet(folder)
