@@ -265,6 +265,14 @@ def test_near_stage_keeps_one_row_of_each_group(docs, empty):
 
 # -- licences --------------------------------------------------------------------------------------------------------
 
+def test_licence_after_a_very_long_sentence(spark):
+    long = "a\U0001F600" * 300000  # characters of one and of two UTF-16 units take turns
+    texts = [(1, long + "\n\nReleased under the MIT License."), (2, "license " + "a.b" * 300000)]
+    got = {r.doc_id: (r.licences, r.spans) for r in
+           licenses.digest(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", "MIT:600002:600033"), 2: ("", "")}
+
+
 def test_licences(spark, empty):
     mit = "\n".join(s for name in ("mit-title", "mit-grant", "mit-include", "mit-as-is", "mit-liable")
                     for s in licenses.SENTENCES[name][:1])
