@@ -294,6 +294,46 @@ def test_licences(spark, empty):
     assert licenses.digest(empty).count() == 0
 
 
+def licences_of(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.licences, r.n_sentences, r.spans) for r in licenses.digest(frame).orderBy("doc_id").collect()]
+
+
+def test_every_licence_sentence_and_rule_is_found(spark):
+    around = "Words first.\n\n{}\n\nmore words. The end", "a title\n{}\nmore words", "\U0001f600 First. {}"
+    every = [s for sentences in licenses.SENTENCES.values() for s in sentences]
+    assert all(re.findall(licenses.COARSE, s) == re.findall(licenses.FINE, s) for s in every)
+    texts = [a.format(s) for s in every for a in around]
+    texts += [re.sub(r"((?:\S+ ){4})", "\\1\n", s) for s in every]
+    assert [(t, n) for t, (_, n, _) in zip(texts, licences_of(spark, texts)) if n != 1] == []
+    rules = [(licence, seq) for licence, seqs in licenses.RULES.items() for seq in seqs]
+    texts = ["\n\n".join(["Words first."] + [licenses.SENTENCES[s][-1] for s in seq]) for _, seq in rules]
+    for (licence, seq), text, got in zip(rules, texts, licences_of(spark, texts)):
+        assert got == (licence, len(seq), f"{licence}:14:{len(text)}")
+    assert all(any(w in s.lower() for w in licenses._words()) for s in every)
+
+
+def test_licence_sentences_with_marks_inside(spark):
+    mpl = licenses.SENTENCES["mpl-notice"][0]
+    gpl2 = ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General "
+            "Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n"
+            "(at your option) any later version.")
+    bsd = [licenses.SENTENCES[s][0] for s in ("bsd-grant", "bsd-source", "bsd-binary")]
+    short = "\n\n".join(bsd)
+    texts = [mpl + " If a copy is missing.", gpl2, gpl2.replace("\n", "\r\n"), "a title\n" + mpl.replace("v. ", "v. \n"),
+             mpl.replace("2.0", "1.1") + " Words. 2.0.", mpl.replace("v. ", "v.\n\n"), mpl.replace("v. ", "v. \n \n"),
+             "License 2.0. Version 2.0.", "Copyright 2020 A. All rights reserved.",
+             f"Copyright 2020 A. All rights reserved.\n\n{short}", f"{bsd[0]} All rights reserved. {bsd[1]} {bsd[2]}",
+             "All rights reserved. Released under the MIT License."]
+    got = licences_of(spark, texts)
+    reserved = "LicenseRef-All-Rights-Reserved"
+    assert [r[:2] for r in got] == [
+        ("MPL-2.0", 1), ("GPL-2.0-or-later", 2), ("GPL-2.0-or-later", 2), ("MPL-2.0", 1), ("", 0), ("", 0), ("", 0), ("", 0),
+        (reserved, 1), ("BSD-2-Clause", 4), ("BSD-2-Clause", 4), (f"{reserved},MIT", 2)]
+    assert got[0][2] == f"MPL-2.0:0:{len(mpl)}" and got[1][2] == f"GPL-2.0-or-later:0:{len(gpl2)}"
+    assert got[8][2] == f"{reserved}:18:38" and got[9][2] == f"BSD-2-Clause:40:{len(texts[9])}"
+
+
 # -- repeated windows ------------------------------------------------------------------------------------------------
 
 def test_substring_digest(docs, empty):
