@@ -414,6 +414,34 @@ def test_secret_model_on_held_out_strings(spark):
     assert secrets.train(spark.createDataFrame(samples[:10], "value string, random boolean")) is None
 
 
+#: Apart from runs of one character, no string of this list is in the fixed lists of the models.
+PLAIN = [
+    "state-of-the-art-solution", "docs/guides/getting-started/installation", "/usr/local/share/applications",
+    "2023-01-15T10-30", "2024-12-31T23-59-59", "getUserAccountManager2", "MAX_CONNECTION_POOL_SIZE", "-" * 20, "_" * 30, "/" * 18,
+    "com/example/project/util/StringHelper", "node_modules/react-dom/server", "user-interface-design-principles-2021",
+    "0123456789012345", "4111111111111111", "9807915762804490", "1999-2004/2010-2015", "HTTP_STATUS_NOT_FOUND_404",
+    "XMLHttpRequestEventTarget", "/var/log/nginx/access", "src/main/java/org/apache/commons", "window_session_timeout_ms",
+    "ThisIsALongClassNameFactoryBean", "+1-800-555-0199-123", "IMG_20210304_112233", "/home/john/photos/2020/summer",
+    "covid-19-vaccination-2021", "--------+--------+-------", "x86_64-linux-gnu/lib64", "test_case_number_00012345",
+    "AAAAAAAAAAAAAAAAAAAA", "0000000000000000000"]
+
+
+def test_plain_candidates_are_no_secrets(spark):
+    rng = random.Random(4)
+    assert all(len(set(p)) == 1 for p in set(PLAIN) & set(secrets.fixed_ordinary())) and all(re.fullmatch(secrets.CANDIDATE, p) for p in PLAIN)
+    alphabets = [secrets.ALPHABET[:62], secrets.ALPHABET[:64], secrets.ALPHABET[26:62], "0123456789abcdef", "0123456789ABCDEF"]
+    drawn = ["".join(rng.choices(letters, k=n)) for letters in alphabets for n in (20, 22) for _ in range(40)]
+    plain = PLAIN + ["".join(rng.choices("0123456789", k=16 + k % 9)) for k in range(200)]
+    texts = SECRETS + [f"see {p} there" for p in plain] + [f"see {d} there" for d in drawn]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.train(secrets.labelled_samples(frame.where(F.col("doc_id") < len(SECRETS))))
+    found = {r.doc_id for r in secrets.scan(frame, model).collect() if any(s.kind == "random" for s in r.spans)}
+    first = len(SECRETS)
+    assert [p for k, p in enumerate(plain) if first + k in found] == []
+    first += len(plain)
+    assert sum(first + k in found for k in range(len(drawn))) >= 0.97 * len(drawn)
+
+
 # -- URL rules -------------------------------------------------------------------------------------------------------
 
 def slow_judge(url, rules):
