@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import settled, text_of
+from creditmill.llm.common import settled, text_of, written
 from creditmill.llm.spans import joined, with_matches
 
 _VALUE = "[A-Za-z0-9+/_.=-]+"
@@ -32,12 +32,12 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 #: Ordinary samples: runs of the same characters without letters or too short for a candidate, so that no secret to be
 #: found is among them.
 ORDINARY = r"(?<![A-Za-z0-9+/_-])(?:[0-9+/_-]{6,}+|[A-Za-z0-9+/_-]{6,15}+)(?![A-Za-z0-9+/_-])"
-#: Documents with and documents without a base match from which labelled strings are taken: those with the smallest
-#: hashes of all. It bounds what the classifier is fitted on, not what is scanned.
+#: Different texts with and different texts without a base match from which labelled strings are taken: those with the
+#: smallest hashes of all. It bounds what the classifier is fitted on, not what is scanned.
 SAMPLE_DOCS = 1000
 #: Least log-likelihood ratio (natural logarithm) in all, and for each character.
 LEAST_TOTAL, LEAST_EACH = 3.0, 0.15
-#: Pairs' worth of what the second character alone says.
+#: Pairs' worth of what the fixed list, or the second character alone, says.
 PRIOR = 8
 #: Words that the fixed ordinary strings are made of.
 WORDS = """
@@ -68,7 +68,8 @@ def fixed_ordinary() -> Iterator[str]:
         hour, minute, second = (f"{n // by % most:02}" for by, most in ((16800, 24), (403200, 60), (24192000, 60)))
         yield from (f"{a}-{b}-{c}", f"{a}-of-the-{b}-{c}", f"{a}-{year}-{month}-{day}", f"{a}-v{n % 10}-{n // 10 % 20}-{n % 7}")
         yield from (f"{a}_{b}_{c}", f"{a}_{b}_{n % 1000}", f"{a}_{b}_{c}".upper(), f"{a}_{b}_{n % 100}".upper())
-        yield from (a + b + c, a + b.title() + c.title(), a.title() + b.title() + c.title() + str(n % 10),
+        yield from (a + b + c, a + b.title() + c.title(), a.title() + "IsA" + b.title() + c.title(), a + "OfThe" + b.title(),
+                    a.title() + b.title() + c.title() + str(n % 10),
                     ("XML", "HTTP", "API", "URL", "JSON", "SQL", "ID", "IO")[k % 8] + a.title() + b.title())
         yield from (f"/{a}/{b}/{c}/{d}", f"{a}/{b}-{c}/{d}", f"/{a}/{b}_{c}/{year}/{month}/{day}", f"{a}/{b}{n % 10}/{c}")
         yield from (f"{year}-{month}-{day}T{hour}-{minute}", f"{year}-{month}-{day}", f"{year}{month}{day}",
@@ -88,15 +89,17 @@ def fixed_random() -> Iterator[str]:
 
 def labelled_samples(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
     """(value, random): values of base matches, and short runs of candidates' characters in documents without one."""
-    texts = docs.select(text_of().alias("t"))
+    texts = docs.select(text_of().alias("t")).withColumns({"h": F.xxhash64("t"), "n": F.length("t")})
     any_base = F.col("t").rlike("|".join(f"(?:{p})" for p, _, _ in BASE.values()))
-    order = F.xxhash64("t")
-    with_secret = texts.where(any_base).orderBy(order).limit(n)
+    # copies of a text count once, so that a large group of them does not fill a class
+    different = written(texts.select("h", "n", any_base.alias("random")).distinct(), "labels")
+    chosen = [different.where(F.col("random") == label).orderBy("h", "n").limit(n) for label in (True, False)]
     strings = F.flatten(F.array(*[F.regexp_extract_all("t", F.lit(p), F.lit(g or 0)) for p, g, _ in BASE.values()]))
-    random = with_secret.select(F.explode(strings).alias("value")).where(F.length("value") >= 16)
-    words = texts.where(~any_base).orderBy(order).limit(n).select(
-        F.explode(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))).alias("value"))
-    return random.withColumn("random", F.lit(True)).unionAll(words.withColumn("random", F.lit(False)))
+    words = F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))
+    taken = texts.join(F.broadcast(chosen[0].unionAll(chosen[1])), ["h", "n"]).dropDuplicates(["h", "n"])
+    values = taken.select("random", F.explode(F.when(F.col("random"), F.filter(
+        strings, lambda s: F.length(s) >= 16)).otherwise(words)).alias("value"))
+    return values.select("value", "random")
 
 
 def _states(value: Column) -> Column:
@@ -104,15 +107,15 @@ def _states(value: Column) -> Column:
     return F.concat(F.array(F.lit(0)), F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c)))
 
 
-def _chance(counts: dict[tuple[int, int], int]) -> list[list[float]]:
-    """The chance of each state after each. Pairs seen rarely lean on how often their second character is seen at all,
-    counted one more, so that none is impossible."""
+def _chance(counts: dict[tuple[int, int], int], known: list[list[float]] | None = None) -> list[list[float]]:
+    """The chance of each state after each. Pairs seen rarely lean on ``known``, or else on how often their second
+    character is seen at all, counted one more, so that none is impossible."""
     rows, seen = Counter(), Counter()
     for (a, b), n in counts.items():
         rows[a] += n
         seen[b] += n
-    alone = [(seen[b] + 1) / (sum(seen.values()) + _STATES) for b in range(_STATES)]
-    return [[(counts.get((a, b), 0) + PRIOR * alone[b]) / (rows[a] + PRIOR) for b in range(_STATES)] for a in range(_STATES)]
+    known = known or [[(seen[b] + 1) / (sum(seen.values()) + _STATES) for b in range(_STATES)]] * _STATES
+    return [[(counts.get((a, b), 0) + PRIOR * known[a][b]) / (rows[a] + PRIOR) for b in range(_STATES)] for a in range(_STATES)]
 
 
 def train(samples: DataFrame) -> list[float] | None:
@@ -131,7 +134,8 @@ def train(samples: DataFrame) -> list[float] | None:
     sampled, fixed = {}, {}
     for label, strings in ((True, fixed_random()), (False, fixed_ordinary())):
         chained = ([0] + [ALPHABET.find(c) + 1 for c in value] for value in strings)
-        sampled[label], fixed[label] = _chance(counts[label]), _chance(Counter(p for s in chained for p in zip(s, s[1:])))
+        fixed[label] = _chance(Counter(p for s in chained for p in zip(s, s[1:])))
+        sampled[label] = _chance(counts[label], fixed[label])
     return [math.log((sampled[True][a][b] + fixed[True][a][b]) / (sampled[False][a][b] + fixed[False][a][b]))
             for a in range(_STATES) for b in range(_STATES)]
 

@@ -442,6 +442,16 @@ def test_plain_candidates_are_no_secrets(spark):
     assert sum(first + k in found for k in range(len(drawn))) >= 0.97 * len(drawn)
 
 
+def test_copies_do_not_fill_the_samples(spark):
+    texts = [f"token = {hashlib.sha1(bytes([k])).hexdigest()}" for k in range(6)] + [f"plain wordnumber{k}" for k in range(6)]
+    by_hash = [r.text for r in spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.xxhash64("text")).collect()]
+    least = {label: [t for t in by_hash if t.startswith("token") == label] for label in (True, False)}
+    rows = [t for label in least for k, t in enumerate(least[label]) for _ in range(1 if k else 50)]
+    got = secrets.labelled_samples(spark.createDataFrame([(t,) for t in rows], "text string"), 3).collect()
+    want = [(t.split()[-1], True) for t in least[True][:3]] * 2 + [(t.split()[-1], False) for t in least[False][:3]]
+    assert counted([(r.value, r.random) for r in got]) == Counter(want)
+
+
 # -- URL rules -------------------------------------------------------------------------------------------------------
 
 def slow_judge(url, rules):
