@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from creditmill.llm import (
+    align,
     chat,
     exact_dedup,
     licenses,
     mixture,
     packing,
     quality,
+    ranked,
     secrets,
     simhash,
     substring_dedup,
     url_filter,
+    warc,
 )
 from creditmill.llm.common import table
 
@@ -44,6 +47,9 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixture": _over("documents", mixture.digest),
     "op9_packing": _over("documents", packing.digest),
     "op10_chat_quotes": _over("conversations", chat.digest),
+    "op11_ranked_search": lambda spark, sf_dir: ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op12_warc": _over("pages", warc.digest),
+    "op13_token_alignment": _over("documents", align.scores),
 }
 
 SQL: dict[str, str] = {
@@ -52,4 +58,6 @@ SQL: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.SQL,
     "op7_url_filter": url_filter.SQL,
     "op8_source_mixture": mixture.SQL,
+    "op11_ranked_search": ranked.SQL,
+    "op12_warc": warc.SQL,
 }
