@@ -52,12 +52,14 @@ def settled(df: DataFrame, keep: Sequence[str], columns: dict[str, Column]) -> D
         *[F.col(f"`{c}`") for c in keep], *[F.col(name).getField(n).alias(n) for n in columns])
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, by: Sequence[str]) -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, by: Sequence[str],
+                merge: bool = False) -> DataFrame:
     """Inner join of ``rows`` with ``groups``, which has one row per key and, in ``size``, the rows of that key.
 
     A key over 1/1000 of all rows is cut into pieces of that size by a hash of ``by``, and its group row is repeated
     for each piece. At most 1000 keys can be that large, so their list is the one thing broadcast. ``groups`` should
-    be a written table, as it is read three times. Keys must not be missing.
+    be a written table, as it is read three times. Keys must not be missing. With ``merge``, for groups nearly as many as
+    the rows, the groups are never broadcast, so that a small input takes the same plan as a large one.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     least = int(total) // HOT_SHARE + 1
@@ -71,7 +73,7 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
     right = groups.withColumn(
         piece, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col(size) / F.lit(least)), F.lit(1)) - 1))
     ).drop(size)
-    return left.join(right, [*keys, piece]).drop(piece)
+    return left.join(right.hint("merge") if merge else right, [*keys, piece]).drop(piece)
 
 
 def _slot(keys: Sequence[str], bits: int) -> Column:

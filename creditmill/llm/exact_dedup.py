@@ -121,7 +121,7 @@ def duplicates(docs: DataFrame, base: int = BASE, prime: int = PRIME, chunk: int
     parted = parted.withColumn("part", F.coalesce("part", F.lit(b"")))
     groups = written(parted.groupBy("fp", "n_bytes", "part").agg(
         F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), F.count("*").alias("n")), "groups")
-    return spread_join(parted, groups, ["fp", "n_bytes", "part"], "n", ["doc_id", "sha"]).select(
+    return spread_join(parted, groups, ["fp", "n_bytes", "part"], "n", ["doc_id", "sha"], merge=True).select(
         "doc_id", "sha", "copies", "keep_id", "group_size")
 
 

@@ -113,7 +113,7 @@ def links(fps: DataFrame, radius: int = RADIUS, at_once: int = LIST) -> DataFram
     parts = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.mask", "k.key")
     lists = written(parts.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
     blocks = F.ceil(F.col("n") / F.lit(at_once)).cast("int")
-    dealt = spread_join(parts, lists.withColumn("blocks", blocks), ["mask", "key"], "n", ["fp"])
+    dealt = spread_join(parts, lists.withColumn("blocks", blocks), ["mask", "key"], "n", ["fp"], merge=True)
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = dealt.withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy(
@@ -144,7 +144,7 @@ def groups(docs: DataFrame) -> DataFrame:
     firsts = written(labelled.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("m")), "firsts")
     named = written(spread_join(labelled.select("root", "fp", "n"), firsts, ["root"], "m", ["fp"])
                     .select("fp", "n", "component_id"), "named")
-    return spread_join(marks, named, ["fp"], "n", ["doc_id", "t_hash"])
+    return spread_join(marks, named, ["fp"], "n", ["doc_id", "t_hash"], merge=True)
 
 
 def digest(docs: DataFrame) -> DataFrame:
