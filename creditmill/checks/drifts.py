@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creditmill.checks import family_sql as FS
+from creditmill.checks.joins import REFERENCE_SQL, contract_sql, saved_store
 from creditmill.checks.logs import EXPANDED, FEATURES, log
 from creditmill.checks.registry import query
 from creditmill.checks.roles import role, role_sql, table, with_roles
 from creditmill.contract import schema as S
 from creditmill.contract import vocabulary as V
+from creditmill.contract.features import feature_names
 from creditmill.operators import align as A
 from creditmill.operators import drift as D
 from creditmill.operators import sampling as SM
@@ -17,6 +19,9 @@ from creditmill.plans import families as P
 from creditmill.plans import monitoring as MO
 from creditmill.plans import prediction_log as L
 from creditmill.plans import scenario as SC
+from creditmill.plans import scoring as PS
+from creditmill.session import new_table_path
+from creditmill.sources import log_store as LS
 
 K = S.KEY
 
@@ -257,6 +262,69 @@ def ks_output(spark, sf):
         "statistic", "ref_n", "cur_n", "score", "detected", "ref_mean", "cur_mean", F.round("delta", 9).alias("delta"))
 
 
+# --- all features against the frozen reference ------------------------------------------------------
+_CURRENT = 1000
+_FEATURE_LIST = feature_names()
+
+
+def _cells_sql(side: str) -> str:
+    """Counted cells of a side whose columns are the contract's, at single precision as the model sees them."""
+    return f"""SELECT feature, v, count(*) AS n FROM (UNPIVOT (SELECT {', '.join(
+        f'CAST(CAST("{c}" AS FLOAT) AS DOUBLE) AS "{c}"' for c in _FEATURE_LIST)} FROM {side})
+        ON COLUMNS(*) INTO NAME feature VALUE v) GROUP BY ALL"""
+
+
+# chance of a larger chi-square by the series of the lower incomplete gamma function, whose terms are all positive
+_UPPER = """CASE WHEN degrees = 0 THEN 1 WHEN statistic > 600 THEN 0 ELSE greatest(0, 1 - list_sum([exp(
+    (degrees / 2 + j) * ln(greatest(statistic, 1e-300) / 2) - statistic / 2 - lgamma(degrees / 2 + j + 1)) FOR j IN range(0, 1500)])) END"""
+_DRIFT_CTES = {
+    "store": FS.store_sql(),
+    "ref_rows": REFERENCE_SQL,
+    "cur_rows": f"""SELECT {contract_sql('request')} FROM (SELECT * FROM request ORDER BY {K} DESC LIMIT {_CURRENT}) request
+        LEFT JOIN store s ON s.{K} = request.{K}""",
+    "both_cells": f"""SELECT feature, v, CAST(coalesce(r.n, 0) AS DOUBLE) AS rn, CAST(coalesce(c.n, 0) AS DOUBLE) AS cn
+        FROM ({_cells_sql('ref_rows')}) r FULL JOIN ({_cells_sql('cur_rows')}) c USING (feature, v)""",
+    "kinds": """SELECT feature, count(*) <= 5 AS category, sum(rn) AS n, sum(cn) AS m FROM both_cells GROUP BY feature
+        HAVING sum(rn) > 0 AND sum(cn) > 0""",
+    "ks": f"""SELECT feature, 'K-S p_value' AS method, statistic, CAST(NULL AS BIGINT) AS degrees, ref_n, cur_n,
+        greatest(0, least(1, CASE WHEN z < 0.04 THEN 1 WHEN z < 1.18 THEN {_BODY} ELSE {_TAIL} END)) AS score
+        FROM (SELECT *, {_LAMBDA} AS z FROM (SELECT feature, max(abs(r / n - c / m)) AS statistic,
+          CAST(any_value(n) AS BIGINT) AS ref_n, CAST(any_value(m) AS BIGINT) AS cur_n FROM (
+            SELECT feature, n, m, sum(rn) OVER w AS r, sum(cn) OVER w AS c FROM both_cells JOIN kinds USING (feature)
+            WHERE NOT category WINDOW w AS (PARTITION BY feature ORDER BY v)) GROUP BY feature))""",
+    "expected": """SELECT feature, v, rn, cn, (rn + cn) * n / (n + m) AS er, (rn + cn) * m / (n + m) AS ec
+        FROM both_cells JOIN kinds USING (feature) WHERE category""",
+    "pooled": """SELECT feature, CASE WHEN er >= 5 AND ec >= 5 THEN v END AS v, sum(rn) AS rn, sum(cn) AS cn, sum(er) AS er,
+        sum(ec) AS ec FROM expected GROUP BY ALL""",
+    "chi": f"""SELECT feature, 'chi-square p_value' AS method, statistic, degrees, ref_n, cur_n, {_UPPER} AS score FROM (
+        SELECT feature, sum((rn - er) * (rn - er) / er + (cn - ec) * (cn - ec) / ec) AS statistic, count(*) - 1 AS degrees,
+          CAST(sum(rn) AS BIGINT) AS ref_n, CAST(sum(cn) AS BIGINT) AS cn_, CAST(sum(cn) AS BIGINT) AS cur_n
+        FROM pooled GROUP BY feature)""",
+}
+
+
+def _rounded(df):
+    # a chance computed by two formulas agrees to many places after the point, not in all its digits
+    return df.withColumns({"statistic": F.round("statistic", 6), "score": F.round("score", 6)})
+
+
+@query("drift_report", with_roles("""SELECT feature, method, round(statistic, 6) AS statistic, degrees, ref_n, cur_n,
+    round(score, 6) AS score, CAST(0.05 AS DOUBLE) AS threshold, score < 0.05 AS detected
+    FROM (SELECT * FROM ks UNION ALL SELECT * FROM chi)""", "application", "request", **_DRIFT_CTES), ["statistic", "score"])
+def drift_report(spark, sf):
+    store = saved_store(spark, sf)
+    path = new_table_path(spark, "reference-cells")
+    reference = MO.build_reference(role(spark, sf, "application"), store)
+    MO.freeze_reference(A.to_single_precision(reference, _FEATURE_LIST), _FEATURE_LIST, path)
+    assembled = PS.assemble(role(spark, sf, "request"), store)
+    features = assembled.selectExpr(K, *[f"CAST(CAST(`{c}` AS FLOAT) AS DOUBLE) AS `{c}`" for c in _FEATURE_LIST])
+    log_path = new_table_path(spark, "full-log")
+    LS.append_log(features.select(
+        F.col(K).cast("string").alias("id"), F.timestamp_seconds(F.col(K)).alias("timestamp"), F.col(K).alias("sk_id_curr"),
+        F.lit(200).alias("status_code"), L.features_json(_FEATURE_LIST).alias("features")), log_path)
+    return _rounded(MO.drift_report(spark.read.parquet(path), LS.read_log(spark, log_path), _FEATURE_LIST, _CURRENT))
+
+
 # --- report and verdicts ----------------------------------------------------------------------------
 @query("drift_parse", drift_sql(f"""SELECT feature, score, threshold, method AS stattest, detected
     FROM ({TESTED_SQL})"""), ["score"])

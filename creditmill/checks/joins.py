@@ -92,16 +92,26 @@ def feature_store(spark, sf):
     return FST.feature_store(child_tables(spark, sf))
 
 
-@query("feature_store_roundtrip", f"SELECT * FROM ({FS.pos_sql()}) FULL JOIN ({FS.installments_sql()}) USING ({K})",
-       P.POS_CASH.output_columns() + P.INSTALLMENTS.output_columns())
+BUCKETS = 8
+
+
+def bucketed(df, name):
+    """``df`` as a table bucketed by client."""
+    path = new_table_path(df.sparkSession, name)
+    table_name = path.rsplit("/", 1)[1].replace("-", "_")
+    T.save_bucketed(df, table_name, BUCKETS, path=path)
+    return df.sparkSession.table(table_name)
+
+
+def saved_store(spark, sf):
+    """The store as scoring finds it: built before, in buckets."""
+    return bucketed(FST.feature_store(child_tables(spark, sf)), "store")
+
+
+@query("feature_store_roundtrip", FS.store_sql(), C.store_features())
 def feature_store_roundtrip(spark, sf):
-    written = []
-    for name, family in (("pos", P.pos_family(role(spark, sf, "POS_CASH_balance"))),
-                         ("instal", P.installments_family(role(spark, sf, "installments_payments")))):
-        path = new_table_path(spark, name)
-        T.write_parquet(family, path)
-        written.append(spark.read.parquet(path))
-    return FST.full_outer_store(written)
+    families = P.all_families(child_tables(spark, sf))
+    return FST.full_outer_store([bucketed(f, f"family{i}") for i, f in enumerate(families)])
 
 
 def _app_sql(source: str) -> dict[str, str]:
@@ -124,7 +134,7 @@ def _finite(sql: str) -> str:
     return f"CASE WHEN isfinite(CAST({sql} AS DOUBLE)) THEN CAST({sql} AS DOUBLE) END"
 
 
-def _contract_sql(source: str) -> str:
+def contract_sql(source: str) -> str:
     app = _app_sql(source)
     cells = []
     for name in C.feature_names():
@@ -142,7 +152,7 @@ _GENDER = "CODE_GENDER IS DISTINCT FROM 'XNA'"
 
 
 @query("training_matrix", with_roles(
-    f"SELECT application.{K}, TARGET, {_contract_sql('application')} FROM application "
+    f"SELECT application.{K}, TARGET, {contract_sql('application')} FROM application "
     f"LEFT JOIN store s ON s.{K} = application.{K} WHERE {_GENDER}", "application", store=FS.store_sql()),
     C.feature_names())
 def training_matrix(spark, sf):
@@ -151,23 +161,32 @@ def training_matrix(spark, sf):
 
 @query("reference_join", with_roles(f"""
     SELECT count(*) AS applications, count(s.k) AS joined, count(*) - count(s.k) AS dropped
-    FROM application a LEFT JOIN (SELECT DISTINCT {K} AS k FROM bureau) s ON s.k = a.{K}
-    WHERE {_GENDER}""", "application", "bureau"))
+    FROM application a LEFT JOIN (SELECT {K} AS k FROM store) s ON s.k = a.{K}
+    WHERE {_GENDER}""", "application", store=FS.store_sql()))
 def reference_join(spark, sf):
-    return FST.dropped_applications(role(spark, sf, "application"), FST.feature_store(child_tables(spark, sf)))
+    return FST.dropped_applications(role(spark, sf, "application"), saved_store(spark, sf))
+
+
+REFERENCE_SQL = (f"SELECT application.{K}, TARGET, {contract_sql('application')} FROM application "
+                 f"JOIN store s ON s.{K} = application.{K} WHERE {_GENDER}")
+
+
+@query("reference_rows", with_roles(REFERENCE_SQL, "application", store=FS.store_sql()), C.feature_names())
+def reference_rows(spark, sf):
+    return FST.reference_rows(role(spark, sf, "application"), saved_store(spark, sf))
 
 
 # --- scoring ---------------------------------------------------------------------------------------
 @query("score_assemble", with_roles(
-    f"SELECT request.{K}, s.{K} IS NOT NULL AS client_known, {_contract_sql('request')} FROM request "
+    f"SELECT request.{K}, s.{K} IS NOT NULL AS client_known, {contract_sql('request')} FROM request "
     f"LEFT JOIN store s ON s.{K} = request.{K}", "request", store=FS.store_sql()), C.feature_names())
 def score_assemble(spark, sf):
-    return SC.assemble(role(spark, sf, "request"), FST.feature_store(child_tables(spark, sf)))
+    return SC.assemble(role(spark, sf, "request"), saved_store(spark, sf))
 
 
 def scored(spark, sf, keep=()):
     """Requests with the whole contract from the whole store, scored with the test scorer."""
-    assembled = SC.assemble(role(spark, sf, "request"), FST.feature_store(child_tables(spark, sf)))
+    assembled = SC.assemble(role(spark, sf, "request"), saved_store(spark, sf))
     return SC.respond(assembled, SC.income_credit_score(), MODEL, keep)
 
 
@@ -178,7 +197,7 @@ SCORED_SQL = f"SELECT *, CASE WHEN p >= {0.33} THEN 'REFUSED' ELSE 'GRANTED' END
 
 
 @query("score_batch", with_roles(f"""
-    SELECT request.{K} AS sk_id_curr, {_contract_sql('request')},
+    SELECT request.{K} AS sk_id_curr, {contract_sql('request')},
       p AS probability_default, d AS decision, CAST(0.33 AS DOUBLE) AS threshold, '2' AS model_version,
       s.{K} IS NOT NULL AS client_known
     FROM ({SCORED_SQL}) request LEFT JOIN store s ON s.{K} = request.{K}""", "request", store=FS.store_sql()),
@@ -199,20 +218,24 @@ def decide(spark, sf):
 @query("score_external", with_roles(f"SELECT {K}, p AS probability_default FROM ({SCORED_SQL})", "request"),
        ["probability_default"])
 def score_external(spark, sf):
-    names = ["AMT_CREDIT", "AMT_INCOME_TOTAL"]
+    names = C.feature_names()
+    of_credit, of_income = names.index("AMT_CREDIT"), names.index("AMT_INCOME_TOTAL")
 
     def load():
         import numpy as np
 
         def predict(batch):
-            credit = np.maximum(np.nan_to_num(batch[:, 0].astype("float64"), nan=1.0), 1.0)
-            income = np.nan_to_num(batch[:, 1].astype("float64"), nan=0.0)
+            if batch.shape[1] != len(names) or batch.dtype != np.float32:
+                raise ValueError("the scorer takes the whole contract at single precision")
+            credit = np.maximum(np.nan_to_num(batch[:, of_credit].astype("float64"), nan=1.0), 1.0)
+            income = np.nan_to_num(batch[:, of_income].astype("float64"), nan=0.0)
             p = np.clip(1.0 - income / credit, 0.0, 1.0)
             return np.column_stack([1.0 - p, p])
 
         return predict
 
-    return SC.score_with(role(spark, sf, "request"), names, load, [K])
+    assembled = SC.assemble(role(spark, sf, "request"), saved_store(spark, sf))
+    return SC.score_with(assembled, names, load, [K])
 
 
 @query("client_known", with_roles(f"""
@@ -232,12 +255,12 @@ def validate_scores(spark, sf):
 
 
 @query("features_to_json", with_roles(f"""
-    SELECT request.{K}, {_contract_sql('request')}, CAST({len(C.feature_names())} AS INT) AS fields
+    SELECT request.{K}, {contract_sql('request')}, CAST({len(C.feature_names())} AS INT) AS fields
     FROM request LEFT JOIN store s ON s.{K} = request.{K}""", "request", store=FS.store_sql()),
     C.feature_names())
 def features_to_json(spark, sf):
     # the text of a double differs between engines, so the document is read back
-    assembled = SC.assemble(role(spark, sf, "request"), FST.feature_store(child_tables(spark, sf)))
+    assembled = SC.assemble(role(spark, sf, "request"), saved_store(spark, sf))
     doc = assembled.select(K, features_json(C.feature_names()).alias("doc"))
     parsed = F.from_json("doc", ", ".join(f"`{c}` DOUBLE" for c in C.feature_names()))
     return doc.select(K, parsed.alias("p"), F.size(F.json_object_keys("doc")).alias("fields")).select(
@@ -315,8 +338,8 @@ def target_distribution(spark, sf):
 
 
 @query("no_history_template", with_roles(f"""
-    SELECT request.{K}, {_contract_sql('request')} FROM request LEFT JOIN store s ON s.{K} = request.{K}
+    SELECT request.{K}, {contract_sql('request')} FROM request LEFT JOIN store s ON s.{K} = request.{K}
     WHERE s.{K} IS NULL""", "request", store=FS.store_sql()), C.feature_names())
 def no_history_template(spark, sf):
-    assembled = SC.assemble(role(spark, sf, "request"), FST.feature_store(child_tables(spark, sf)))
+    assembled = SC.assemble(role(spark, sf, "request"), saved_store(spark, sf))
     return assembled.where(~F.col("client_known")).select(K, *[col(c) for c in C.feature_names()])

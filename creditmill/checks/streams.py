@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from creditmill.checks.joins import MODEL
+from creditmill.checks.joins import MODEL, saved_store
 from creditmill.checks.registry import SQL, query
-from creditmill.checks.roles import ROLES, child_tables, role, table, with_roles
+from creditmill.checks.roles import ROLES, table, with_roles
 from creditmill.contract.features import feature_names
 from creditmill.plans import scoring as SC
-from creditmill.plans.feature_store import feature_store
 from creditmill.session import new_table_path
 from creditmill.sources import log_store as LS
-from creditmill.sources.tables import write_parquet
 from creditmill.streaming import jobs as J
 
 
@@ -29,9 +27,8 @@ def log_stream(spark, sf):
 
 
 def stream_score(spark, sf):
-    store_path, out = new_table_path(spark, "store"), new_table_path(spark, "scores")
-    write_parquet(feature_store(child_tables(spark, sf)), store_path)
-    J.score_stream(stream(spark, sf, "customer", "request"), spark.read.parquet(store_path),
+    out = new_table_path(spark, "scores")
+    J.score_stream(stream(spark, sf, "customer", "request"), saved_store(spark, sf),
                    lambda rows: SC.respond(rows, SC.income_credit_score(), MODEL, feature_names()), out)
     return spark.read.parquet(out).drop("batch")
 

@@ -31,7 +31,7 @@ def sanitize(df: DataFrame) -> DataFrame:
 
 def to_single_precision(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     chosen = set(columns)
-    return df.select(*[col(c).cast("float").alias(c) if c in chosen else col(c) for c in df.columns])
+    return df.selectExpr(*[f"CAST({quoted(c)} AS FLOAT) AS {quoted(c)}" if c in chosen else quoted(c) for c in df.columns])
 
 
 def beside(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact order statistics without sending a whole group to one task.
 
 Values are first counted, so copies of a value collapse on the map side. The distinct values are then
-cut into pieces at sampled split points; running sums inside a piece plus the totals of earlier pieces
+cut into ranges of about equal size; running sums inside a piece plus the totals of earlier pieces
 give exact running sums for any group, however large.
 """
 
@@ -16,40 +16,33 @@ from pyspark.sql.window import Window
 from creditmill.operators.lookup import join_groups
 from creditmill.session import cut_lineage
 
-MAX_PIECES = 1023
+#: Distinct values of one piece, on average.
+PIECE_ROWS = 1_000_000
 
 
-def _pieces(df: DataFrame) -> int:
-    return min(MAX_PIECES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _placed(counted: DataFrame, groups: Sequence[str], value: str, piece_rows: int) -> DataFrame:
+    """``counted`` with ``_piece``: pieces are ranges of (groups, value) of about ``piece_rows`` rows each.
 
-
-def _cut_index(cuts: Column, position: Column, pieces: int) -> Column:
-    """How many split points are <= position, by bisection over the sorted split points."""
-    steps = [1 << b for b in reversed(range(pieces.bit_length()))]
-    index = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]), F.lit(0),
-        lambda low, step: F.when(F.get(cuts, low + step - 1) <= position, low + step).otherwise(low))
-    # never NULL; saying so keeps a derived "is not null" filter from running this on the raw rows
-    return F.coalesce(index, F.lit(0))
+    Spark samples the counted rows for the split points, so a group has as many pieces as its distinct values need, and
+    small groups share one. The pieces are written, because every reader must see the same ones.
+    """
+    written = cut_lineage(counted, "counted")
+    pieces = -(-written.count() // piece_rows)
+    if pieces <= 1:
+        return written.withColumn("_piece", F.lit(0))
+    ranged = written.repartitionByRange(pieces, *[F.col(c) for c in [*groups, value]])
+    return cut_lineage(ranged.withColumn("_piece", F.spark_partition_id()), "pieces")
 
 
-def running_sums(counted: DataFrame, groups: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
+def running_sums(counted: DataFrame, groups: Sequence[str], value: str, weights: Sequence[str],
+                 piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Add ``<w>_before`` and ``<w>_total`` for every weight column.
 
     ``counted`` has one row per (groups, value) with a non-NULL value. ``<w>_before`` sums the weight over
-    smaller values of the same group. The counts are written once, because the split points, the piece
-    totals and the running sums each read them.
+    smaller values of the same group.
     """
     groups = list(groups)
-    counted = cut_lineage(counted, "counted")
-    pieces = _pieces(counted)
-    position = F.struct(*[F.col(c) for c in [*groups, value]])
-    # the rows with the smallest hashes are a uniform sample of fixed size, the same on every attempt
-    sample = counted.select(position.alias("p")).orderBy(F.xxhash64("p"), "p").limit(pieces)
-    cuts = sample.agg(F.sort_array(F.collect_list("p"))).scalar()
-    placed = (counted.withColumn("_cuts", cuts)
-              .withColumn("_piece", _cut_index(F.col("_cuts"), position, pieces)).drop("_cuts"))
-
+    placed = _placed(counted, groups, value, piece_rows)
     piece_totals = placed.groupBy(*groups, "_piece").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
     per_group = Window.partitionBy(*(groups or [F.lit(0)]))
     earlier = per_group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from creditmill.contract.schema import KEY, LABEL
-from creditmill.operators.align import common_columns, filled_columns
-from creditmill.operators.drift import ks_test
+from creditmill.operators.drift import count_cells, count_logged, drift_tests
 from creditmill.operators.sampling import stratified_sample
 from creditmill.plans.feature_store import reference_rows
+from creditmill.plans.prediction_log import current_features
 
-REFERENCE_ROWS = 10000  # fixed value
+# --- fixed values ---------------------------------------------------------------------------
+REFERENCE_ROWS = 10000
+CURRENT_ROWS = 100
 
 
 def build_reference(app: DataFrame, store: DataFrame, n: int = REFERENCE_ROWS, seed: int = 42) -> DataFrame:
@@ -20,7 +22,15 @@ def build_reference(app: DataFrame, store: DataFrame, n: int = REFERENCE_ROWS, s
     return stratified_sample(reference_rows(app, store), KEY, LABEL, n, seed)
 
 
-def drift_report(reference: DataFrame, current: DataFrame, contract: Sequence[str]) -> DataFrame:
-    """Test every contract feature that both sides have and that is not empty on either side."""
-    shared = common_columns([c for c in contract if c in set(reference.columns)], current.columns)
-    return ks_test(reference, current, filled_columns(reference, current, shared))
+def freeze_reference(reference: DataFrame, contract: Sequence[str], path: str) -> None:
+    """Keeps of the reference what the tests need: its counted cells, in ranges of feature and value."""
+    cells = count_cells(reference, [c for c in contract if c in set(reference.columns)])
+    cells.repartitionByRange("feature", "value").sortWithinPartitions("feature", "value").write.mode("overwrite").parquet(path)
+
+
+def drift_report(frozen: DataFrame, log: DataFrame, contract: Sequence[str], limit: int = CURRENT_ROWS) -> DataFrame:
+    """Tests the last ``limit`` successful log rows against the cells of ``freeze_reference``.
+
+    Every contract feature with a value on both sides has a row; the reference's rows are not read again.
+    """
+    return drift_tests(frozen, count_logged(current_features(log, limit), contract))

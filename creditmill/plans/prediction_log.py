@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditmill.functions.missing import finite_or_null, round_half_even
-from creditmill.functions.names import col
+from creditmill.functions.missing import finite_sql, round_half_even
+from creditmill.functions.names import col, quoted
 from creditmill.operators.ordered import quantiles
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -37,7 +37,8 @@ COMPONENTS = {
 # --- rows -----------------------------------------------------------------------------------
 def features_json(columns: Sequence[str]) -> Column:
     """All features as one JSON object; NaN and infinities are null, nulls are kept."""
-    return F.to_json(F.struct(*[finite_or_null(col(c)).alias(c) for c in columns]), {"ignoreNullFields": "false"})
+    fields = ", ".join(f"{finite_sql(quoted(c))} AS {quoted(c)}" for c in columns)
+    return F.expr(f"to_json(struct({fields}), map('ignoreNullFields', 'false'))")
 
 
 def expand_features(df: DataFrame, names: Sequence[str], column: str = "features") -> DataFrame:

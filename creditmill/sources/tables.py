@@ -61,10 +61,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def save_bucketed(df: DataFrame, table: str, buckets: int, key: str = KEY) -> None:
-    """Bucket and sort by client, so joins between such tables need no shuffle."""
-    (df.repartition(buckets, col(key)).write.mode("overwrite").option("compression", "snappy")
-     .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+def save_bucketed(df: DataFrame, table: str, buckets: int, key: str = KEY, path: str | None = None) -> None:
+    """Bucket and sort by client, so joins between such tables need no shuffle and few clients are read from few files.
+
+    ``path`` puts the files elsewhere than the warehouse.
+    """
+    writer = df.repartition(buckets, col(key)).write.mode("overwrite").option("compression", "snappy")
+    (writer.option("path", path) if path else writer).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
 def write_artefact(spark: SparkSession, value, path: str) -> None:

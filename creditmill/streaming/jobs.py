@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from creditmill.contract.schema import KEY
 from creditmill.functions.names import col
+from creditmill.operators.lookup import rows_for
 from creditmill.operators.ordered import counted_quantiles
 from creditmill.plans.prediction_log import HALVES, OK_STATUS
 from creditmill.plans.scoring import assemble
@@ -44,10 +46,12 @@ def score_stream(requests: DataFrame, store: DataFrame, respond: Callable[[DataF
                  contract: Sequence[str] | None = None, request_id: str = "SK_ID_CURR") -> None:
     """Score requests as they come, with the same plan as a batch.
 
-    A batch that is tried again overwrites its own folder, so no request is scored into the table twice.
+    A batch that is tried again overwrites its own folder, so no request is scored into the table twice. Of a store
+    bucketed by client, a batch reads the buckets of its own clients.
     """
     def score(batch: DataFrame, number: int) -> None:
-        out = respond(assemble(batch, store, contract, request_id=request_id))
+        known = rows_for(store, batch, KEY)
+        out = respond(assemble(batch, known, contract, request_id=request_id))
         out.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     _run(requests.writeStream.foreachBatch(score), f"{path}_checkpoint")

@@ -223,6 +223,13 @@ def test_weights(spark):
 
 # --- scenarios --------------------------------------------------------------------------------------
 def test_bounds():
-    assert scenario.bounds("EXT_SOURCE_9") == (0, 1) and scenario.bounds("AMT_X") == (1, None)
-    assert scenario.bounds("OBS_X") == (0, 500) and scenario.bounds("DAYS_BIRTH") == (-25550, -6570)
-    assert scenario.bounds("OTHER") == (None, None)
+    """One column of each group of request rules, with the bounds written out."""
+    expected = {
+        "SK_ID_CURR": (100000, 999999999), "CNT_CHILDREN": (0, 20), "EXT_SOURCE_2": (0, 1), "APARTMENTS_AVG": (0, 1),
+        "TOTALAREA_MODE": (0, 1), "REGION_POPULATION_RELATIVE": (0, 1), "DAYS_BIRTH": (-25550, -6570),
+        "DAYS_EMPLOYED": (-25000, 365243), "DAYS_REGISTRATION": (-25000, 0), "DAYS_ID_PUBLISH": (-10000, 0),
+        "OWN_CAR_AGE": (0, 100), "CNT_FAM_MEMBERS": (1, 20), "REGION_RATING_CLIENT": (1, 3), "HOUR_APPR_PROCESS_START": (0, 23),
+        "OBS_30_CNT_SOCIAL_CIRCLE": (0, 500), "AMT_REQ_CREDIT_BUREAU_YEAR": (0, 500), "DAYS_LAST_PHONE_CHANGE": (-15000, 0),
+        "AMT_CREDIT": (1, None), "AMT_INCOME_TOTAL": (1, None), "FLAG_MOBIL": (None, None), "FLAG_DOCUMENT_3": (None, None),
+        "NO_REQUEST_COLUMN": (None, None)}
+    assert {name: scenario.bounds(name) for name in expected} == expected
