@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SCOPE = threading.local()
 
 
 def build_session(app_name: str = "creditmill", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -53,7 +57,31 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; every call gives another one."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_SCOPE, "paths", None) is not None:
+        _SCOPE.paths.append(path)
+    return path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table written to a path of ``new_table_path``; one that is not there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables whose paths this thread takes within the block are deleted at its end.
+
+    What is read from them must be written elsewhere before, under a path taken outside. After an error they stay.
+    """
+    outer, _SCOPE.paths = getattr(_SCOPE, "paths", None), []
+    try:
+        yield
+        for path in _SCOPE.paths:
+            drop_table(spark, path)
+    finally:
+        _SCOPE.paths = outer
 
 
 def cut_lineage(df, name: str):

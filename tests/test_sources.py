@@ -1,5 +1,7 @@
 """Readers, writers, the log table, the store and the streams."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +243,20 @@ def test_equal_versions_have_one_winner(spark):
     rows = spark.createDataFrame([(1, 7, c) for c in "abcdef"], "id long, version long, value string")
     winners = {LS.latest_versions(rows.repartition(k), "id", "version").first().value for k in (1, 2, 3, 5)}
     assert len(winners) == 1
+
+
+def test_passing_tables_are_deleted(spark):
+    from creditmill.session import cut_lineage, new_table_path, passing_tables
+
+    outside = new_table_path(spark, "kept")
+    with passing_tables(spark):
+        first = cut_lineage(spark.range(10), "passing")
+        where = first.inputFiles()[0]
+        first.where("id > 4").write.parquet(outside)
+    assert spark.read.parquet(outside).count() == 5
+    assert not os.path.exists(where.removeprefix("file://"))
+    with pytest.raises(ValueError):
+        with passing_tables(spark):
+            left = cut_lineage(spark.range(3), "left")
+            raise ValueError
+    assert left.count() == 3
