@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from creditmill.llm import exact_dedup, mixture, packing, quality, simhash
-from creditmill.llm.common import table, written
+from creditmill.llm.common import table
+from creditmill.session import drop_table, new_table_path, passing_tables
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What a stage wrote on its way, and its input, are deleted once its result is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_table_path(spark, f"llm-{name.replace(' ', '-')}")
+        with passing_tables(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        if last:
+            drop_table(spark, last)
+        docs, last = spark.read.schema(result.schema).parquet(path), path
     return docs
