@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creditmill.checks import family_sql as FS
-from creditmill.checks.registry import query
+from creditmill.checks.registry import SQL, query
 from creditmill.checks.roles import child_tables, role, role_sql, with_roles
 from creditmill.checks.rows import dummy_sql, ratio_sql
 from creditmill.contract import features as C
@@ -296,6 +296,17 @@ def vocabulary(spark, sf):
     return PR.vocabulary(role(spark, sf, "application"), _TEXT)
 
 
+@query("artefact_roundtrip", SQL["vocabulary"])
+def artefact_roundtrip(spark, sf):
+    # a vocabulary is one JSON document: as many entries as the columns have categories
+    listed = {r.column: r["values"] for r in PR.vocabulary(role(spark, sf, "application"), _TEXT)
+              .groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("values")).collect()}
+    path = new_table_path(spark, "vocabulary")
+    T.write_artefact(spark, listed, path)
+    back = T.read_artefact(spark, path)
+    return spark.createDataFrame([(c, v) for c, values in back.items() for v in values], "column string, value string")
+
+
 _KINDS = {f.name: {"long": "bigint", "double": "double", "string": "string"}[f.dataType.typeName()]
           for f in S.APPLICATION.fields}
 
