@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creditmill.checks.registry import query
-from creditmill.checks.roles import role, with_roles
+from creditmill.checks.roles import child_tables, role, with_roles
 from creditmill.contract import schema as S
-from creditmill.functions.names import col
+from creditmill.contract.features import feature_names
 from creditmill.operators import evaluate as EV
 from creditmill.operators import sampling as SM
 from creditmill.plans import scoring as SC
 from creditmill.plans import training as TR
+from creditmill.plans.feature_store import training_matrix
+from creditmill.session import cut_lineage, new_table_path
 
 K, Y = S.KEY, S.LABEL
 T = 0.33
@@ -145,7 +147,8 @@ def fold_summary(spark, sf):
     UNION ALL SELECT 'scorecard', CAST(2 AS INT), CAST(0.33 AS DOUBLE), '2'""",
     folded=_FOLDED, best=_BEST, per_fold=_PER_FOLD), ["threshold"])
 def model_threshold(spark, sf):
-    summary = fold_summary(spark, sf)
+    # both registry rows read one evaluation
+    summary = cut_lineage(fold_summary(spark, sf), "summary")
     # the second version was registered without a threshold of its own
     registry = TR.registry_rows("scorecard", 1, summary).unionByName(
         TR.registry_rows("scorecard", 2, summary.where(F.col("metric") != "best_threshold")))
@@ -198,21 +201,21 @@ def scorer_compare(spark, sf):
     return EV.compare_scorers(first.join(second, K), "p", "q", T)
 
 
-# --- training: iterative, so rows only -----------------------------------------------------------------
-FEATURES = ["AMT_CREDIT", "AMT_ANNUITY", "EXT_SOURCE_1", "EXT_SOURCE_2", "DAYS_EMPLOYED"]
+# --- training: iterative, so rows only; every model sees the whole contract ------------------------------
+FEATURES = feature_names()
 
 
 def training_rows(spark, sf):
-    app = role(spark, sf, "application")
-    return app.select(K, Y, *[col(c).cast("double").alias(c) for c in FEATURES])
+    rows = training_matrix(role(spark, sf, "application"), child_tables(spark, sf))
+    return TR.matrix(SM.holdout_split(rows, K), FEATURES, [K, Y, "is_test"])
 
 
 def _train(name: str, kind: str):
     @query(name)
     def run(spark, sf):
-        rows = SM.holdout_split(training_rows(spark, sf), K)
-        model = TR.fit(rows.where("NOT is_test"), FEATURES, Y, kind, weighted=kind != "perceptron")
-        return TR.predict(model, rows.where("is_test"), FEATURES).select(K, Y, TR.SCORE)
+        rows = training_rows(spark, sf)
+        fitted = TR.fit(rows.where("NOT is_test"), FEATURES, Y, kind, weighted=kind != "perceptron")
+        return fitted.scored(rows.where("is_test")).select(K, Y, TR.SCORE)
 
 
 _train("train_logistic", "logistic")
@@ -223,17 +226,34 @@ _train("train_perceptron", "perceptron")
 
 @query("oof_scores")
 def oof_scores(spark, sf):
-    return TR.out_of_fold(training_rows(spark, sf), K, FEATURES, Y).select(K, Y, "fold", TR.SCORE)
+    return TR.out_of_fold(training_rows(spark, sf), K, Y, FEATURES).select(K, Y, "fold", TR.SCORE)
+
+
+@query("threshold_selection")
+def threshold_selection(spark, sf):
+    rows = training_rows(spark, sf)
+    made = TR.select_threshold(rows.where("NOT is_test"), rows.where("is_test"), K, Y, FEATURES, "logistic", 1,
+                               new_table_path(spark, "selection"))
+    registered = TR.resolve_model(made.registry)
+    curve = made.curve.select(F.lit("curve").alias("part"), F.col("threshold").cast("string").alias("name"),
+                              F.col("cost").cast("double").alias("value"))
+    holdout = made.holdout.select(F.lit("holdout"), "metric", "value")
+    chosen = registered.select(F.lit("registry"), "model_name", "threshold")
+    return curve.union(holdout).union(chosen)
+
+
+#: 100 trials over all eight ranges, none with more than a hundredth of its iterations.
+QUERY_RUNGS = (TR.Rung(100, 0.002, 1), TR.Rung(8, 0.005, 1), TR.Rung(2, 0.01, 2))
 
 
 @query("param_search")
 def param_search(spark, sf):
-    return TR.search(training_rows(spark, sf), K, FEATURES, Y, trials=4, folds=3)
+    return TR.search(training_rows(spark, sf), K, Y, FEATURES, QUERY_RUNGS)
 
 
 @query("gain_importance")
 def gain_importance(spark, sf):
     from creditmill.operators.drift import top_importance
 
-    rows = training_rows(spark, sf)
-    return top_importance(TR.importances(TR.fit(rows, FEATURES, Y, "boosting"), FEATURES, rows), 10)
+    fitted = TR.fit(training_rows(spark, sf), FEATURES, Y, "boosting")
+    return top_importance(TR.importances(fitted, spark), 10)

@@ -1,144 +1,322 @@
-"""Model training, out-of-fold scores, parameter search and the model registry, with MLlib."""
+"""Model training, out-of-fold scores, threshold choice, parameter search and the model registry, with MLlib.
+
+Models see every feature of the contract. A row is kept as one array column, so plans stay narrow however many
+features there are; what a fit learns about the features (medians, which of them can be missing) comes from counted
+values, exactly and the same at every run.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
-from functools import reduce
+import math
+import random
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.param.shared import HasLabelCol
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditmill.contract.schema import Model
-from creditmill.functions.names import col
-from creditmill.operators.evaluate import SEARCH_STEPS, best_threshold, with_class_weights
+from creditmill.functions.names import col, quoted
+from creditmill.operators.evaluate import (CURVE_STEPS, SEARCH_STEPS, best_threshold, cost_curve, fold_metrics,
+                                           fold_summary, holdout_report, metrics, with_class_weights)
+from creditmill.operators.ordered import running_sums
 from creditmill.operators.sampling import stratified_folds
-from creditmill.session import cut_lineage
-
-SEED = 42  # fixed value
-FOLDS = 5  # fixed value
+from creditmill.session import cut_lineage, new_table_path, passing_tables, path_exists
+from creditmill.sources.tables import read_artefact, write_artefact
+
+# --- fixed values ---------------------------------------------------------------------------
+SEED = 42
+FOLDS = 5
+FOLD_METRICS = ["roc_auc", "pr_auc", "recall", "precision", "f1", "fbeta", "cost", "best_threshold"]
+#: Of each model family as it is first trained. Tree depths stand for 31 leaves and for trees without a limit.
+SETTINGS = {
+    "boosting": {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1},
+    "forest": {"numTrees": 100, "maxDepth": 12},
+    "logistic": {"maxIter": 1000},
+    "perceptron": {"maxIter": 300},
+}
+HIDDEN_LAYERS = [100, 50]
+# ---------------------------------------------------------------------------------------------
 WEIGHT = "weight"
 SCORE = "score"
+VALUES = "values"  # the array of feature values, missing ones NULL
 _VECTOR = "probability"  # the column MLlib classifiers write
 
 
-def classifier(kind: str, n_features: int, label: str, weighted: bool = True) -> Estimator:
-    """One of the four model families. The perceptron takes no row weights."""
+# --- rows and what is learnt about them before a fit ---------------------------------------------
+def matrix(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """``keep`` and all features in one array column, written once: every fit reads this table, not the plan of ``df``."""
+    values = ", ".join(f"CAST({quoted(f)} AS DOUBLE)" for f in features)
+    return cut_lineage(df.select(*[col(c) for c in keep], F.expr(f"array({values})").alias(VALUES)), "matrix")
+
+
+@dataclass(frozen=True)
+class Preparation:
+    """Median of every feature, and the positions of those that were missing somewhere.
+
+    MLlib trees cannot route missing values, so they are imputed and each such feature gets a 0/1 flag. A feature without
+    any value has median 0.
+    """
+
+    features: list[str]
+    medians: list[float]
+    flagged: list[int]
+
+    @property
+    def inputs(self) -> list[str]:
+        return self.features + [f"{self.features[i]}_missing" for i in self.flagged]
+
+    def vector(self) -> Column:
+        medians = F.lit(self.medians)
+        filled = F.transform(VALUES, lambda v, i: F.coalesce(v, F.get(medians, i)))
+        if not self.flagged:
+            return array_to_vector(filled)
+        flags = F.transform(F.lit(self.flagged), lambda i: F.get(F.col(VALUES), i).isNull().cast("double"))
+        return array_to_vector(F.concat(filled, flags))
+
+
+def learn_preparation(rows: DataFrame, features: Sequence[str]) -> Preparation:
+    """Exact medians of all features from one pass that counts values; one row per feature reaches the driver."""
+    cells = rows.select(F.posexplode(VALUES)).where("col IS NOT NULL")
+    counted = cells.groupBy("pos", "col").agg(F.count(F.lit(1)).alias("n"))
+    total = F.col("n_total")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n")), F.col("col")))
+
+    with passing_tables(rows.sparkSession):
+        ranked = running_sums(counted, ["pos"], "col", ["n"])
+        found = {r.pos: r for r in ranked.groupBy("pos").agg(
+            F.max(total).alias("n"), at(F.floor((total - 1) / 2)).alias("low"),
+            at(F.floor(total / 2)).alias("high")).collect()}
+    size = rows.count()
+    medians = [(found[i].low + found[i].high) / 2 if i in found else 0.0 for i in range(len(features))]
+    flagged = [i for i in range(len(features)) if i not in found or found[i].n < size]
+    return Preparation(list(features), medians, flagged)
+
+
+# --- models --------------------------------------------------------------------------------------
+def classifier(kind: str, n_inputs: int, label: str, weighted: bool = True,
+               settings: Mapping[str, object] | None = None) -> list[Estimator]:
+    """The stages of one of the four model families.
+
+    Only the perceptron needs scaled inputs: trees do not care, and the logistic model scales by itself. The perceptron
+    takes no row weights.
+    """
+    common = {"labelCol": label, "featuresCol": "features", **SETTINGS.get(kind, {}), **(settings or {})}
     weights = {"weightCol": WEIGHT} if weighted else {}
-    common = {"labelCol": label, "featuresCol": "features"}
     if kind == "boosting":
-        return GBTClassifier(seed=SEED, maxIter=20, maxDepth=5, **common, **weights)
+        return [GBTClassifier(seed=SEED, **common, **weights)]
     if kind == "forest":
-        return RandomForestClassifier(seed=SEED, numTrees=50, maxDepth=8, **common, **weights)
+        return [RandomForestClassifier(seed=SEED, **common, **weights)]
     if kind == "logistic":
-        return LogisticRegression(maxIter=50, **common, **weights)
+        return [LogisticRegression(**common, **weights)]
     if kind == "perceptron":
-        return MultilayerPerceptronClassifier(seed=SEED, layers=[n_features, 16, 2], maxIter=50, **common)
+        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+        layers = [n_inputs, *HIDDEN_LAYERS, 2]
+        return [scaler, MultilayerPerceptronClassifier(seed=SEED, layers=layers, **common | {"featuresCol": "scaled"})]
     raise ValueError(f"unknown model {kind!r}")
 
 
-def prepare(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Add a 0/1 flag per feature that can be missing: MLlib trees cannot route missing values."""
-    flags = {f"{c}_missing": F.col(c).isNull().cast("double") for c in features}
-    return df.withColumns(flags), [*features, *flags]
+@dataclass(frozen=True)
+class Fitted:
+    """A model with the preparation it was fitted behind; both are saved and loaded together."""
 
+    preparation: Preparation
+    model: PipelineModel
 
-def pipeline(kind: str, features: Sequence[str], label: str, weighted: bool = True) -> Pipeline:
-    """Median imputation and, for models that need it, standard scaling before the classifier."""
-    imputed = [f"{c}_imputed" for c in features]
-    inputs = imputed + [f"{c}_missing" for c in features]
-    stages = [Imputer(strategy="median", inputCols=list(features), outputCols=imputed),
-              VectorAssembler(inputCols=inputs, outputCol="_raw", handleInvalid="keep"),
-              StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)]
-    return Pipeline(stages=[*stages, classifier(kind, len(inputs), label, weighted)])
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """``rows`` without the features, with the probability of class 1."""
+        kept = [col(c) for c in rows.columns if c != VALUES]
+        ready = rows.select(*kept, self.preparation.vector().alias("_raw"))
+        return self.model.transform(ready).select(*kept, vector_to_array(_VECTOR)[1].alias(SCORE))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        write_artefact(spark, vars(self.preparation), f"{path}/preparation")
+        self.model.write().overwrite().save(f"{path}/model")
 
-def fit(df: DataFrame, features: Sequence[str], label: str, kind: str = "logistic",
-        weighted: bool = True) -> PipelineModel:
-    ready, _ = prepare(df, features)
-    if weighted:
-        ready = with_class_weights(ready, label, WEIGHT)
-    return pipeline(kind, features, label, weighted).fit(ready)
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Fitted:
+        return cls(Preparation(**read_artefact(spark, f"{path}/preparation")), PipelineModel.load(f"{path}/model"))
 
 
-def predict(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``df`` with the probability of class 1."""
-    ready, _ = prepare(df, features)
-    scored = model.transform(ready)
-    return scored.select(*[col(c) for c in df.columns], vector_to_array(_VECTOR)[1].alias(SCORE))
+def fit(rows: DataFrame, features: Sequence[str], label: str, kind: str = "logistic", weighted: bool = True,
+        settings: Mapping[str, object] | None = None) -> Fitted:
+    """Fit on the rows of a ``matrix``. The assembler keeps mostly-zero rows (one-hot columns, flags) sparse."""
+    preparation = learn_preparation(rows, features)
+    ready = with_class_weights(rows, label, WEIGHT) if weighted else rows
+    ready = ready.select(*[col(c) for c in ready.columns if c != VALUES], preparation.vector().alias("_raw"))
+    assembler = VectorAssembler(inputCols=["_raw"], outputCol="features")
+    stages = classifier(kind, len(preparation.inputs), label, weighted, settings)
+    return Fitted(preparation, Pipeline(stages=[assembler, *stages]).fit(ready))
 
 
-def out_of_fold(df: DataFrame, key: str, features: Sequence[str], label: str, kind: str = "logistic",
-                folds: int = FOLDS) -> DataFrame:
-    """Every row scored by a model that has not seen it; adds ``fold`` and ``score``.
+def importances(fitted: Fitted, spark: SparkSession) -> DataFrame:
+    """(feature, importance): split gain of a tree model, coefficient size of a linear one."""
+    last = fitted.model.stages[-1]
+    values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
+    rows = [(n, abs(float(v))) for n, v in zip(fitted.preparation.inputs, values.toArray())]
+    return spark.createDataFrame(rows, "feature string, importance double")
+
 
-    The folds are written once; every fit then reads that table instead of the plan behind ``df``.
+# --- from out-of-fold scores to a threshold ---------------------------------------------------------
+def out_of_fold(rows: DataFrame, key: str, label: str, features: Sequence[str], kind: str = "logistic",
+                folds: int = FOLDS, settings: Mapping[str, object] | None = None, path: str | None = None) -> DataFrame:
+    """Every row of a ``matrix`` scored by a model that has not seen it; adds ``fold`` and ``score``.
+
+    The model of a fold is kept at ``path``/fold-<i> and its scores at ``path``/scores/fold=<i>. Run again with the same
+    rows and path, the folds whose scores are complete are not fitted again.
+    """
+    spark = rows.sparkSession
+    path = new_table_path(spark, "folds") if path is None else path
+    split = stratified_folds(rows.select(key, label), key, label, folds, SEED).select(key, "fold")
+    with passing_tables(spark):
+        placed = cut_lineage(rows.join(split, key), "folded")
+        for fold in range(folds):
+            place = f"{path}/scores/fold={fold}"
+            if path_exists(spark, f"{place}/_SUCCESS"):
+                continue
+            fitted = fit(placed.where(F.col("fold") != fold), features, label, kind, kind != "perceptron", settings)
+            fitted.save(spark, f"{path}/fold-{fold}")
+            (fitted.scored(placed.where(F.col("fold") == fold)).drop("fold")
+             .write.mode("overwrite").parquet(place))
+    return spark.read.option("basePath", f"{path}/scores").parquet(
+        *[f"{path}/scores/fold={fold}" for fold in range(folds)])
+
+
+@dataclass(frozen=True)
+class Selection:
+    """What one choice of a threshold leaves behind; all of it derives from ``scores``, which is a written table."""
+
+    scores: DataFrame
+    curve: DataFrame
+    threshold: float
+    holdout_scores: DataFrame
+    holdout: DataFrame
+    registry: DataFrame
+
+
+def select_threshold(train: DataFrame, test: DataFrame, key: str, label: str, features: Sequence[str], name: str,
+                     version: int, path: str, kind: str = "logistic",
+                     settings: Mapping[str, object] | None = None) -> Selection:
+    """Out-of-fold scores, their cost curve, its cheapest threshold, and at that threshold the holdout rows.
+
+    The model for the holdout is fitted on all of ``train`` and kept at ``path``/final. The registry row has the mean and
+    spread of the folds, each of which is evaluated once.
     """
-    split = cut_lineage(stratified_folds(df, key, label, folds, SEED), "folds")
-    parts = []
-    for fold in range(folds):
-        model = fit(split.where(F.col("fold") != fold), features, label, kind)
-        parts.append(predict(model, split.where(F.col("fold") == fold), features))
-    return reduce(DataFrame.unionByName, parts)
+    spark = train.sparkSession
+    scores = out_of_fold(train, key, label, features, kind, settings=settings, path=path)
+    curve = cut_lineage(cost_curve(scores, label, SCORE, CURVE_STEPS), "curve")
+    threshold = curve.orderBy("cost", "threshold").first()["threshold"]
+    if path_exists(spark, f"{path}/final/model/metadata/_SUCCESS"):
+        final = Fitted.load(spark, f"{path}/final")
+    else:
+        final = fit(train, features, label, kind, kind != "perceptron", settings)
+        final.save(spark, f"{path}/final")
+    tested = cut_lineage(final.scored(test), "holdout")
+    report = holdout_report(metrics(tested, label, SCORE, F.lit(threshold)))
+    per_fold = cut_lineage(fold_metrics(scores, label, SCORE, "fold"), "per-fold")
+    registry = registry_rows(name, version, fold_summary(per_fold, FOLD_METRICS))
+    return Selection(scores, curve, threshold, tested, report, registry)
 
 
-class CostEvaluator(Evaluator, HasLabelCol):
-    """Least business cost over the threshold grid; smaller is better."""
+# --- parameter search -----------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Rung:
+    """``trials`` settings meet here, each with this share of its iterations, over so many of the folds."""
 
-    @keyword_only
-    def __init__(self, labelCol: str = "label"):
-        super().__init__()
-        self._set(labelCol=labelCol)
+    trials: int
+    share: float
+    folds: int
 
-    def _evaluate(self, dataset: DataFrame) -> float:
-        scored = dataset.select(col(self.getLabelCol()), vector_to_array(_VECTOR)[1].alias(SCORE))
-        return float(best_threshold(scored, self.getLabelCol(), SCORE, SEARCH_STEPS).first()["cost"])
 
-    def isLargerBetter(self) -> bool:
-        return False
+#: 100 settings, few of which are trained in full.
+RUNGS = (Rung(100, 0.02, 1), Rung(20, 0.1, 2), Rung(4, 1.0, FOLDS))
 
 
-def search(df: DataFrame, key: str, features: Sequence[str], label: str, trials: int, folds: int = FOLDS,
-           parallelism: int = 2) -> DataFrame:
-    """Mean cross-validated cost of seeded random settings: (trial, params, cost), best first."""
-    import random
+def draw_settings(trials: int, seed: int = SEED) -> list[dict[str, object]]:
+    """Seeded settings of a boosted model over eight ranges.
 
-    draw = random.Random(SEED)
-    ready, _ = prepare(stratified_folds(df, key, label, folds, SEED), features)
-    ready = cut_lineage(with_class_weights(ready, label, WEIGHT), "search")
-    pipe = pipeline("logistic", features, label)
-    model = pipe.getStages()[-1]
-    grid = []
+    Leaves become a depth, the smallest leaf a row count, the shares of rows and of columns themselves; MLlib has no
+    penalty on leaf weights, so the two penalties become the least gain and the least weight of a node.
+    """
+    draw = random.Random(seed)
+    out = []
     for _ in range(trials):
-        # log-uniform strength, uniform mix
-        settings = {model.regParam: 10 ** draw.uniform(-5, 0), model.elasticNetParam: draw.uniform(0, 1)}
-        builder = ParamGridBuilder()
-        for param, value in settings.items():
-            builder = builder.addGrid(param, [value])
-        grid += builder.build()
-    fitted = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=CostEvaluator(labelCol=label),
-                            numFolds=folds, foldCol="fold", parallelism=parallelism).fit(ready)
-    rows = [(i, json.dumps({p.name: v for p, v in setting.items()}), float(c))
-            for i, (setting, c) in enumerate(zip(grid, fitted.avgMetrics))]
-    return df.sparkSession.createDataFrame(rows, "trial int, params string, cost double").orderBy("cost", "trial")
-
-
-def importances(model: PipelineModel, features: Sequence[str], df: DataFrame) -> DataFrame:
-    """(feature, importance): split gain of a tree model, coefficient size of a linear one."""
-    names = [*features, *[f"{c}_missing" for c in features]]
-    last = model.stages[-1]
-    values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
-    rows = [(n, abs(float(v))) for n, v in zip(names, values.toArray())]
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double")
+        out.append({
+            "maxDepth": int(math.log2(draw.randint(20, 300))),
+            "stepSize": math.exp(draw.uniform(math.log(0.01), math.log(0.3))),
+            "maxIter": draw.randint(100, 1000),
+            "minInstancesPerNode": draw.randint(5, 100),
+            "subsamplingRate": draw.uniform(0.5, 1.0),
+            "featureSubsetStrategy": str(draw.uniform(0.5, 0.999)),
+            "minInfoGain": math.exp(draw.uniform(math.log(1e-8), math.log(1e-2))),
+            "minWeightFractionPerNode": math.exp(draw.uniform(math.log(1e-8), math.log(1e-2))),
+        })
+    return out
+
+
+def search(rows: DataFrame, key: str, label: str, features: Sequence[str], rungs: Sequence[Rung] = RUNGS,
+           parallelism: int = 4, path: str | None = None) -> DataFrame:
+    """Successive halving on mean business cost: (rung, trial, iterations, folds, cost, params), the last rung's best first.
+
+    The cheapest trials of a rung enter the next. Folds are prepared and written once for all trials. Finished trials are
+    written below ``path``; a search started again there goes on after them.
+    """
+    spark = rows.sparkSession
+    path = new_table_path(spark, "trials") if path is None else path
+    settings = draw_settings(rungs[0].trials)
+    most = max(r.folds for r in rungs)
+    split = stratified_folds(rows.select(key, label), key, label, FOLDS, SEED).select(key, "fold")
+    schema = "rung int, trial int, iterations int, folds int, cost double, params string"
+
+    def prepared(placed: DataFrame, fold: int) -> DataFrame:
+        inside = F.col("fold") != fold
+        preparation = learn_preparation(placed.where(inside), features)
+        weighted = with_class_weights(placed.withColumn("_y", F.when(inside, col(label))), "_y", WEIGHT)
+        ready = weighted.select(col(label), WEIGHT, inside.alias("train"), preparation.vector().alias("_raw"))
+        return cut_lineage(VectorAssembler(inputCols=["_raw"], outputCol="features").transform(ready).drop("_raw"), "fold")
+
+    with passing_tables(spark):
+        placed = cut_lineage(rows.join(split, key), "folded")
+        tables = [prepared(placed, fold) for fold in range(most)]
+
+        def run(job: tuple[int, int]) -> None:
+            rung, trial = job
+            params = settings[trial] | {"maxIter": max(1, round(settings[trial]["maxIter"] * rungs[rung].share))}
+            costs = []
+            for table in tables[:rungs[rung].folds]:
+                model = classifier("boosting", 0, label, True, params)[0].fit(table.where("train"))
+                tested = (model.transform(table.where("NOT train"))
+                          .select(col(label), vector_to_array(_VECTOR)[1].alias(SCORE)))
+                costs.append(best_threshold(tested, label, SCORE, SEARCH_STEPS).first()["cost"])
+            row = (rung, trial, params["maxIter"], len(costs), sum(costs) / len(costs), json.dumps(settings[trial]))
+            # a folder each: trials that end together must not share one that is being committed
+            spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{rung}-{trial}")
+
+        entering = list(range(len(settings)))
+        with ThreadPool(parallelism) as pool:
+            for number, rung in enumerate(rungs):
+                entering = entering[:rung.trials]
+                done = {(r.rung, r.trial) for r in _trials(spark, path, schema)}
+                pool.map(inheritable_thread_target(spark)(run),
+                         [(number, t) for t in entering if (number, t) not in done], chunksize=1)
+                done = {(r.rung, r.trial): r.cost for r in _trials(spark, path, schema)}
+                entering.sort(key=lambda t: (done[number, t], t))
+    return spark.read.schema(schema).parquet(f"{path}/*").orderBy(F.desc("rung"), "cost", "trial")
+
+
+def _trials(spark: SparkSession, path: str, schema: str):
+    """The finished trials, a row each: as many as the search has rungs and trials."""
+    return spark.read.schema(schema).parquet(f"{path}/*").collect() if path_exists(spark, path) else []
 
 
 # --- registry -----------------------------------------------------------------------------------

@@ -69,6 +69,11 @@ def drop_table(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 @contextmanager
 def passing_tables(spark: SparkSession) -> Iterator[None]:
     """Tables whose paths this thread takes within the block are deleted at its end.

@@ -9,7 +9,7 @@ from creditmill.checks import catalog
 SF = "0.001"
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 # fitted models: no SQL states their result
-ITERATIVE = {"train_logistic", "train_boosting", "train_forest", "train_perceptron", "oof_scores", "param_search",
+ITERATIVE = {"train_logistic", "train_boosting", "train_forest", "train_perceptron", "oof_scores", "param_search", "threshold_selection",
              "gain_importance", "ks_features_exact"}
 
 
