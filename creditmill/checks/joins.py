@@ -13,6 +13,7 @@ from creditmill.contract import schema as S
 from creditmill.contract import vocabulary as V
 from creditmill.contract.schema import Model
 from creditmill.functions.names import col
+from creditmill.operators import align as A
 from creditmill.operators import encode as E
 from creditmill.operators import evaluate as EV
 from creditmill.operators import profile as PR
@@ -354,3 +355,20 @@ def target_distribution(spark, sf):
 def no_history_template(spark, sf):
     assembled = SC.assemble(role(spark, sf, "request"), saved_store(spark, sf))
     return assembled.where(~F.col("client_known")).select(K, *[col(c) for c in C.feature_names()])
+
+
+_POS_FILLED = """MONTHS_BALANCE:MAX MONTHS_BALANCE:MEAN MONTHS_BALANCE:SIZE SK_DPD:MAX SK_DPD:MEAN SK_DPD_DEF:MAX
+    SK_DPD_DEF:MEAN""".split()
+_POS_NAMES = ([f"POS_{n.replace(':', '_')}" for n in _POS_FILLED] + ["POS_COUNT"]
+              + [f"POS_NAME_CONTRACT_STATUS_{v}_MEAN" for v in [*V.POS_CASH["NAME_CONTRACT_STATUS"], "nan"]])
+
+
+@query("template_contract", with_roles(" UNION ALL ".join(
+    [f"""SELECT '{n}' AS "column", true AS in_contract, count("{n}") AS filled FROM pos""" for n in _POS_NAMES]
+    + ["SELECT 'LEGACY_SCORE', false, count(*) FROM pos"]
+    + [f"""SELECT '{n}', true, CAST(NULL AS BIGINT)""" for n in ("PAYMENT_RATE", "CC_COUNT")]), pos=FS.pos_sql()))
+def template_contract(spark, sf):
+    # a store of one family with a column of an older contract, against a contract with two names it lacks
+    store = P.pos_family(role(spark, sf, "POS_CASH_balance")).withColumn("LEGACY_SCORE", F.lit(0.5))
+    contract = [n for n in C.feature_names() if n.startswith("POS_") or n in ("PAYMENT_RATE", "CC_COUNT")]
+    return A.column_report(store, contract, [K])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from creditmill.checks.registry import query
@@ -142,6 +143,18 @@ def fold_summary(spark, sf):
     return EV.fold_summary(fold_metrics(spark, sf), _METRICS)
 
 
+@query("fold_cost", sql("SELECT fold, CAST(min(cost) AS DOUBLE) AS cost FROM ("
+                        + curve_sql(100, "fold,").replace("FROM scored", "FROM folded") + ") GROUP BY fold", folded=_FOLDED))
+def fold_cost(spark, sf):
+    """The evaluator of the parameter search, fold by fold."""
+    folds = SM.stratified_folds(labelled(spark, sf), K, Y)
+    scored = folds.select("fold", Y, array_to_vector(F.array(1 - F.col("p"), "p")).alias("probability"))
+    rows = cut_lineage(scored, "scored")
+    cost = TR.CostEvaluator(labelCol=Y)
+    return spark.createDataFrame([(i, cost.evaluate(rows.where(F.col("fold") == i))) for i in range(TR.FOLDS)],
+                                 "fold int, cost double")
+
+
 @query("model_threshold", sql(f"""SELECT 'scorecard' AS model_name, CAST(1 AS INT) AS number,
       (SELECT mean FROM ({_SUMMARY}) WHERE metric = 'best_threshold') AS threshold, '1' AS version
     UNION ALL SELECT 'scorecard', CAST(2 AS INT), CAST(0.33 AS DOUBLE), '2'""",

@@ -241,3 +241,19 @@ def validate_quarantine(spark, sf):
     return (valid.select(K, F.lit("valid").alias("verdict"), F.lit("").alias("reasons"))
             .unionByName(rejected.select(K, F.lit("rejected").alias("verdict"),
                                          F.array_join(F.array_sort(V.ERRORS), ",").alias("reasons"))))
+
+
+_REQUEST = f"""concat('{{"{K}": ', CAST({K} AS STRING), ', "AMT_CREDIT": 1.5, ',
+    CASE WHEN {K} % 4 = 0 THEN '"AMT_CREDITS": 2, ' WHEN {K} % 4 = 1 THEN '"NOTE": "x, y", "TARGET": 1, ' ELSE '' END,
+    '"CODE_GENDER": null}}')"""
+
+
+@query("validate_unknown", with_roles(f"""SELECT {K}, array_to_string(list_sort(
+      [f FOR f IN json_keys(payload) IF f NOT IN ({', '.join(repr(c) for c in S.REQUEST_COLUMNS)})]), ',') AS unknown,
+    len([c FOR c IN [{', '.join(repr(c) for c in S.REQUIRED)}] IF NOT list_contains(json_keys(payload), c)]) AS n_absent
+    FROM (SELECT {K}, {_REQUEST} AS payload FROM application)""", "application"))
+def validate_unknown(spark, sf):
+    requests = role(spark, sf, "application").select(K, F.expr(_REQUEST).alias("payload"))
+    payload = F.col("payload")
+    return requests.select(K, F.concat_ws(",", V.unknown_fields(payload)).alias("unknown"),
+                           F.size(V.absent_fields(payload)).cast("bigint").alias("n_absent"))

@@ -25,6 +25,21 @@ def contract_gaps(columns: Sequence[str], contract: Sequence[str]) -> tuple[list
     return [c for c in contract if c not in have], [c for c in columns if c not in want]
 
 
+def column_report(df: DataFrame, contract: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(column, in_contract, filled) of every column but ``keep``, and of contract columns the frame lacks (filled NULL).
+
+    One aggregate row, however many columns.
+    """
+    missing, unknown = contract_gaps([c for c in df.columns if c not in set(keep)], contract)
+    have = [c for c in df.columns if c not in set(keep)]
+    counts = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(have)])
+    pairs = [F.struct(F.lit(c).alias("column"), F.lit(c not in set(unknown)).alias("in_contract"), F.col(f"c{i}").alias("filled"))
+             for i, c in enumerate(have)]
+    pairs += [F.struct(F.lit(c).alias("column"), F.lit(True).alias("in_contract"), F.lit(None).cast("bigint").alias("filled"))
+              for c in missing]
+    return counts.select(F.inline(F.array(*pairs)))
+
+
 def sanitize(df: DataFrame) -> DataFrame:
     return df.toDF(*safe_names(df.columns))
 

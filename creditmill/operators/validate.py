@@ -53,6 +53,20 @@ def unknown_columns(columns: Sequence[str], label: str | None = S.LABEL) -> list
     return [c for c in columns if c not in known]
 
 
+def unknown_fields(payload: Column, label: str | None = None) -> Column:
+    """Names in a JSON request that the schema does not know, sorted; such a request is refused.
+
+    A request that is no JSON object has NULL.
+    """
+    known = S.REQUEST_COLUMNS + [label] if label else S.REQUEST_COLUMNS
+    return F.sort_array(F.array_except(F.json_object_keys(payload), F.lit(list(known))))
+
+
+def absent_fields(payload: Column) -> Column:
+    """Required names that a JSON request does not have, sorted; a field that is there with null is not absent."""
+    return F.sort_array(F.array_except(F.lit(list(S.REQUIRED)), F.json_object_keys(payload)))
+
+
 def check_requests(df: DataFrame, label: str | None = S.LABEL) -> DataFrame:
     """Add ``errors``. A column the schema does not know fails the whole job."""
     unknown = unknown_columns(df.columns, label)

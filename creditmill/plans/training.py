@@ -14,12 +14,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasLabelCol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -228,6 +230,22 @@ def select_threshold(train: DataFrame, test: DataFrame, key: str, label: str, fe
     return Selection(scores, curve, threshold, tested, report, registry)
 
 
+class CostEvaluator(Evaluator, HasLabelCol):
+    """Least business cost of scored rows over the threshold grid; smaller is better."""
+
+    @keyword_only
+    def __init__(self, labelCol: str = "label"):
+        super().__init__()
+        self._set(labelCol=labelCol)
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        scored = dataset.select(col(self.getLabelCol()), vector_to_array(_VECTOR)[1].alias(SCORE))
+        return float(best_threshold(scored, self.getLabelCol(), SCORE, SEARCH_STEPS).first()["cost"])
+
+    def isLargerBetter(self) -> bool:
+        return False
+
+
 # --- parameter search -----------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Rung:
@@ -295,9 +313,7 @@ def search(rows: DataFrame, key: str, label: str, features: Sequence[str], rungs
             costs = []
             for table in tables[:rungs[rung].folds]:
                 model = classifier("boosting", 0, label, True, params)[0].fit(table.where("train"))
-                tested = (model.transform(table.where("NOT train"))
-                          .select(col(label), vector_to_array(_VECTOR)[1].alias(SCORE)))
-                costs.append(best_threshold(tested, label, SCORE, SEARCH_STEPS).first()["cost"])
+                costs.append(CostEvaluator(labelCol=label).evaluate(model.transform(table.where("NOT train"))))
             row = (rung, trial, params["maxIter"], len(costs), sum(costs) / len(costs), json.dumps(settings[trial]))
             # a folder each: trials that end together must not share one that is being committed
             spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{rung}-{trial}")

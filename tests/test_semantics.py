@@ -117,3 +117,22 @@ def test_rollup_hot_key_and_partitioning(spark):
     assert len(a) == len(b) == 1000
     for left, right in zip(a, b):
         assert list(left) == pytest.approx(list(right))
+
+
+def test_json_requests_with_foreign_names(spark):
+    from creditmill.contract import schema as S
+    from creditmill.operators import validate as V
+
+    whole = "{" + ", ".join(f'"{c}": null' for c in S.REQUEST_COLUMNS) + "}"
+    data = [("a", whole), ("b", '{"zeta": 1, "AMT_CREDIT": 2, "alpha": {"AMT_X": 1}}'), ("c", "{}"), ("d", "not json"),
+            ("e", None), ("f", whole[:-1] + ', "TARGET": 1}')]
+    payload = F.col("payload")
+    got = {r.k: r for r in spark.createDataFrame(data, "k string, payload string").select(
+        "k", V.unknown_fields(payload).alias("u"), V.unknown_fields(payload, "TARGET").alias("t"),
+        F.size(V.absent_fields(payload)).alias("n"), V.absent_fields(payload).isNull().alias("bad")).collect()}
+    assert got["a"].u == [] and got["a"].n == 0 and got["b"].u == ["alpha", "zeta"]
+    assert got["b"].n == len(S.REQUIRED) - 1 and got["c"].n == len(S.REQUIRED) and got["c"].u == []
+    assert got["d"].u is None and got["d"].bad and got["e"].u is None
+    assert got["f"].u == ["TARGET"] and got["f"].t == []
+    # a known name and two foreign ones, written out
+    assert "AMT_CREDIT" in S.REQUEST_COLUMNS and "CODE_GENDER" in S.REQUIRED
