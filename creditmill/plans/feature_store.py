@@ -14,29 +14,29 @@ from creditmill.operators.align import align, beside
 from creditmill.operators.encode import application_matrix
 from creditmill.plans.families import all_families
 
-# tables that make a client appear in the store
-_CLIENT_TABLES = ["bureau", "previous_application", "POS_CASH_balance", "installments_payments",
-                  "credit_card_balance"]
-
-
 def _left(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, KEY, "left")
 
 
-def store_clients(tables: dict[str, DataFrame]) -> DataFrame:
-    """Every client of any child table, from the key columns alone."""
-    keys = [tables[name].select(KEY).where(col(KEY).isNotNull()) for name in _CLIENT_TABLES]
-    return reduce(DataFrame.union, keys).distinct()
+def merge_families(families: list[DataFrame]) -> DataFrame:
+    """Families side by side, one row per client of any of them; equal to a chain of full outer joins.
+
+    Each family is one column of structs, their rows are stacked and meet again by client. The families come out of
+    their roll-ups placed by client, and a union keeps a placement its inputs share, so stacking and meeting need no
+    shuffle, and no second scan lists the clients. A family has one row per client: a client meets at most as many rows
+    as there are families.
+    """
+    packed = [family.select(KEY, F.struct(*[col(c) for c in family.columns if c != KEY]).alias(f"_family{i}"))
+              for i, family in enumerate(families)]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
+    names = [f"_family{i}" for i in range(len(families))]
+    met = stacked.groupBy(KEY).agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
+    return met.select(KEY, *[F.col(f"{n}.*") for n in names])
 
 
 def feature_store(tables: dict[str, DataFrame]) -> DataFrame:
-    """The five families side by side, one row per client of any of them.
-
-    Equal to a chain of full outer joins. Such a chain loses its partitioning at each step and would
-    shuffle the growing wide side again and again; a left join onto the list of clients keeps it, so
-    each family is shuffled once.
-    """
-    return reduce(_left, all_families(tables), store_clients(tables))
+    """The five families side by side, one row per client of any of them; every table is scanned once."""
+    return merge_families(all_families(tables))
 
 
 def full_outer_store(families: list[DataFrame]) -> DataFrame:
