@@ -9,6 +9,7 @@ from creditmill.contract import schema as S
 from creditmill.contract.schema import KEY
 from creditmill.operators.align import filled_columns
 from creditmill.plans import families as P
+from creditmill.operators.rollup import Rollup
 from creditmill.plans import feature_store as FST
 from creditmill.plans import prediction_log as L
 from creditmill.plans import training as TR
@@ -260,3 +261,19 @@ def test_passing_tables_are_deleted(spark):
             left = cut_lineage(spark.range(3), "left")
             raise ValueError
     assert left.count() == 3
+
+
+def test_store_scans_each_table_once_and_merges_without_shuffle(spark, tmp_path):
+    families, shapes = [], [("a", [(1, 1.0), (2, 2.0)]), ("b", [(2, 5.0), (2, 7.0), (3, None)]), ("c", [])]
+    for name, data in shapes:
+        spark.createDataFrame(data, f"{KEY} bigint, v double").write.parquet(f"{tmp_path}/{name}")
+        families.append(Rollup(name, numeric={"v": ("max", "size")}).apply(spark.read.parquet(f"{tmp_path}/{name}"), KEY))
+    store = FST.merge_families(families)
+    got = {r[0]: tuple(r[1:]) for r in store.collect()}
+    assert store.columns[1:] == [f"{n}_v_{s}" for n in "abc" for s in ("MAX", "SIZE")]
+    # b has client 3 with a missing value: a row of the family, unlike client 1 there
+    assert got == {1: (1.0, 1.0, None, None, None, None), 2: (2.0, 1.0, 7.0, 2.0, None, None),
+                   3: (None, None, None, 1.0, None, None)}
+    plan = store.select("*")._jdf.queryExecution().executedPlan().toString()  # not yet run
+    assert plan.count("FileScan") == 3
+    assert "Exchange" not in plan[:plan.index("Union")]
