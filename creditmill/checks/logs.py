@@ -89,6 +89,21 @@ def log_latest_version(spark, sf):
     return LS.latest_versions(inserted.unionByName(updated), "id", "version")
 
 
+@query("log_update", with_roles("SELECT id, sk_id_curr, status_code, db_log_ms FROM prediction_log", "prediction_log"))
+def log_update(spark, sf):
+    """The log time comes after the row: successes first, failures later, each rewriting the days it touches."""
+    path = new_table_path(spark, "prediction_log")
+    rows = log(spark, sf)
+    LS.append_log(rows.withColumn("db_log_ms", F.lit(None).cast("int")), path)
+    measured = rows.where(F.col("db_log_ms").isNotNull())
+    late = measured.select("id", F.to_date("timestamp").alias(LS.DAY), "db_log_ms", F.lit(1).alias("version"))
+    early = late.withColumns({"db_log_ms": F.lit(-1), "version": F.lit(0)})
+    LS.update_log(early.unionByName(late).where("db_log_ms % 2 = 0 OR version = 0"), path, "id", ["db_log_ms"], "version")
+    LS.update_log(late.drop(LS.DAY), path, "id", ["db_log_ms"], "version")
+    LS.compact_log(spark, path)
+    return LS.read_log(spark, path).select("id", "sk_id_curr", "status_code", "db_log_ms")
+
+
 @query("log_schema_evolve", with_roles("""
     SELECT id, CAST(round_even(latency_ms + 0.5, 0) AS INT) AS latency_ms, CAST(NULL AS INT) AS inference_ms,
       CAST(NULL AS INT) AS db_log_ms FROM prediction_log WHERE status_code <> 200

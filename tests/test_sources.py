@@ -1,5 +1,6 @@
 """Readers, writers, the log table, the store and the streams."""
 
+import datetime as dt
 import os
 
 import pytest
@@ -277,3 +278,73 @@ def test_store_scans_each_table_once_and_merges_without_shuffle(spark, tmp_path)
     plan = store.select("*")._jdf.queryExecution().executedPlan().toString()  # not yet run
     assert plan.count("FileScan") == 3
     assert "Exchange" not in plan[:plan.index("Union")]
+
+
+def logged(spark, days):
+    """Ten rows a day from 1 January 2024 on, ids 0, 1, ..."""
+    at = F.timestamp_add("DAY", (F.col("k") / 10).cast("int"), F.to_timestamp(F.lit("2024-01-01 10:00:00")))
+    return LS.with_defaults(spark.range(days * 10).select(
+        F.col("id").alias("k"), F.col("id").cast("string").alias("id")).withColumn("timestamp", at).drop("k"))
+
+
+def day_files(path):
+    return {day: sorted(f for f in os.listdir(f"{path}/{day}") if f.endswith(".parquet"))
+            for day in os.listdir(path) if day.startswith(LS.DAY)}
+
+
+@pytest.mark.parametrize("days_known", [True, False])
+def test_update_rewrites_only_its_days(spark, tmp_path, days_known):
+    path = str(tmp_path / "log")
+    LS.append_log(logged(spark, 6), path)
+    before = day_files(path)
+    third, fifth = dt.date(2024, 1, 3), dt.date(2024, 1, 5)
+    updates = spark.createDataFrame(
+        [("25", third, 1, 7), ("25", third, 2, 8), ("41", fifth, 1, 5), ("41", fifth, 2, None), ("999", fifth, 1, 1),
+         (None, None, 1, 1)], f"id string, {LS.DAY} date, version int, db_log_ms int")
+    updates = updates if days_known else updates.drop(LS.DAY)
+    LS.update_log(updates.where("version = 1"), path, "id", ["db_log_ms"], "version")
+    assert LS.update_log(updates, path, "id", ["db_log_ms"], "version") == [third, fifth]
+    after = day_files(path)
+    assert {d for d in before if before[d] != after[d]} == {f"{LS.DAY}=2024-01-03", f"{LS.DAY}=2024-01-05"}
+    stored = {r.id: r.db_log_ms for r in LS.read_log(spark, path).collect()}
+    assert len(stored) == 60 and {k: v for k, v in stored.items() if v is not None} == {"25": 8}
+    assert LS.update_log(updates.where("id = '999'"), path, "id", ["db_log_ms"], "version") == []
+    assert LS.update_log(updates.limit(0), path, "id", ["db_log_ms"], "version") == []
+    assert day_files(path) == after
+
+
+def test_known_days_prune_the_scan(spark, tmp_path):
+    path = str(tmp_path / "log")
+    LS.append_log(logged(spark, 3), path)
+    wanted = spark.createDataFrame([("11", dt.date(2024, 1, 2))], f"id string, {LS.DAY} date")
+    log = LS.read_log(spark, path)
+    assert LS.touched_days(log, wanted, "id") == [dt.date(2024, 1, 2)]
+    plan = log.join(wanted, ["id", LS.DAY], "left_semi").select(LS.DAY)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:string>" in plan
+
+
+def test_compaction_joins_small_files_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for part in logged(spark, 2).randomSplit([1.0] * 4, seed=1):
+        LS.append_log(part.repartition(2), path)
+    LS.append_log(logged(spark, 3).where("timestamp >= '2024-01-03'").coalesce(1), path)
+    rows = sorted(map(tuple, LS.read_log(spark, path).select("id", LS.DAY).collect()))
+    third = day_files(path)[f"{LS.DAY}=2024-01-03"]
+    assert LS.compact_log(spark, path) == [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
+    files = day_files(path)
+    assert [len(f) for f in files.values()] == [1, 1, 1] and files[f"{LS.DAY}=2024-01-03"] == third
+    assert sorted(map(tuple, LS.read_log(spark, path).select("id", LS.DAY).collect())) == rows
+    assert LS.compact_log(spark, path) == [] and day_files(path) == files
+
+
+def test_evolution_rewrites_the_old_days(spark, tmp_path):
+    path = str(tmp_path / "log")
+    old = logged(spark, 2).withColumn("latency_ms", F.lit(2.5)).drop("inference_ms", "db_log_ms")
+    old.withColumn(LS.DAY, F.to_date("timestamp")).write.partitionBy(LS.DAY).parquet(path)
+    LS.append_log(logged(spark, 3).where("timestamp >= '2024-01-03'").withColumn("latency_ms", F.lit(9)), path)
+    kept = day_files(path)[f"{LS.DAY}=2024-01-03"]
+    assert LS.evolve_log(spark, path, ["latency_ms"], dt.date(2024, 1, 3)) == [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
+    stored = LS.read_log(spark, path)
+    assert set(stored.columns) == {*S.PREDICTION_LOG.fieldNames(), LS.DAY}
+    assert {(r.latency_ms, r.inference_ms) for r in stored.collect()} == {(2, None), (9, None)} and stored.count() == 30
+    assert day_files(path)[f"{LS.DAY}=2024-01-03"] == kept
