@@ -41,7 +41,9 @@ _AMOUNTS = ("AMT_BALANCE", "AMT_CREDIT_LIMIT_ACTUAL", "AMT_DRAWINGS_CURRENT", "A
 _rollup("agg_basic", Rollup("CC", {c: ("min", "max", "mean", "sum") for c in _AMOUNTS}), "credit_card_balance")
 _rollup("agg_var", Rollup("CC", {c: ("var",) for c in _AMOUNTS}), "credit_card_balance")
 _rollup("agg_size", Rollup("POS", {"MONTHS_BALANCE": ("size",)}, count="POS_COUNT"), "POS_CASH_balance")
-_rollup("agg_nunique", Rollup("INSTAL", {"NUM_INSTALMENT_VERSION": ("nunique",)}), "installments_payments")
+_VERSIONS = {"NUM_INSTALMENT_VERSION": ("nunique",)}
+_rollup("agg_nunique", Rollup("INSTAL", _VERSIONS, gather=False), "installments_payments")
+_rollup("agg_nunique_codes", Rollup("INSTAL", _VERSIONS, codes=tuple(_VERSIONS), gather=False), "installments_payments")
 _rollup("category_share", Rollup("POS", shares=V.POS_CASH), "POS_CASH_balance")
 _NUMBERS = {"AMT_CREDIT_SUM_DEBT": ("max", "mean", "sum"), "DAYS_CREDIT": ("min", "var"), "AMT_CREDIT_SUM": ("sum",)}
 _rollup("agg_subset_active", Rollup("BURO", _NUMBERS, subsets=P.BUREAU.subsets), "bureau")

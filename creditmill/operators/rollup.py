@@ -18,7 +18,7 @@ from creditmill.functions.names import aggregate_name, col, quoted, text
 MISSING_SHARE = "nan"  # fixed value: name of the share of missing categories
 
 
-def _statistic(stat: str, column: str, member: str | None) -> str:
+def _statistic(stat: str, column: str, member: str | None, code: bool = False) -> str:
     """SQL of one statistic over the rows where ``member`` holds (all rows when it is None)."""
     value = quoted(column)
     kept = value if member is None else f"CASE WHEN {member} THEN {value} END"
@@ -32,7 +32,8 @@ def _statistic(stat: str, column: str, member: str | None) -> str:
     # all-missing sums to 0, but only for a client that has rows in the subset
     out = {
         "sum": f"coalesce(sum({number}), 0D)",
-        "nunique": f"CAST(count(DISTINCT {kept}) AS DOUBLE)",
+        # 0 and -0 are one value, which adding 0 makes them for a set; NaN does not occur, readers make it missing
+        "nunique": f"CAST({f'size(collect_set({kept} + 0))' if code else f'count(DISTINCT {kept})'} AS DOUBLE)",
         "size": f"CAST(count_if({member or 'true'}) AS DOUBLE)",
     }[stat]
     return out if member is None else f"CASE WHEN count_if({member}) > 0 THEN {out} END"
@@ -47,6 +48,9 @@ class Rollup:
     carried   like numeric, listed after the shares
     subsets   prefix -> (column, value); repeats ``numeric`` over those rows only
     count     name of the row count, if wanted
+    codes     numeric columns with few different values per key, such as version numbers: their distinct count is a set
+              in the buffer of the roll-up, merged like any partial result. Other distinct counts are unbounded and cost
+              a shuffle of their own.
     gather    bring the rows of a key together before aggregating. The aggregation buffer of a wide
               roll-up is many times larger than a row, so partial results of scattered rows would make the
               shuffle larger, not smaller. The gathering shuffle is a rebalance, which splits the partition
@@ -59,6 +63,7 @@ class Rollup:
     carried: Mapping[str, Sequence[str]] = field(default_factory=dict)
     subsets: Mapping[str, tuple[str, str]] = field(default_factory=dict)
     count: str | None = None
+    codes: Sequence[str] = ()
     gather: bool = True
 
     def _name(self, column: str, stat: str, prefix: str | None = None) -> str:
@@ -68,7 +73,7 @@ class Rollup:
     def _numbers(self, spec: Mapping[str, Sequence[str]], prefix: str, member: str | None):
         for column, stats in spec.items():
             for stat in stats:
-                yield self._name(column, stat, prefix), _statistic(stat, column, member)
+                yield self._name(column, stat, prefix), _statistic(stat, column, member, column in self.codes)
 
     def _shares(self):
         for column, values in self.shares.items():

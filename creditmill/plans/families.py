@@ -77,6 +77,7 @@ INSTALLMENTS = Rollup(
         "DAYS_ENTRY_PAYMENT": ("max", "mean", "sum"),
     },
     count="INSTAL_COUNT",
+    codes=("NUM_INSTALMENT_VERSION",),
 )
 
 CREDIT_CARD = Rollup(

@@ -119,6 +119,25 @@ def test_rollup_hot_key_and_partitioning(spark):
         assert list(left) == pytest.approx(list(right))
 
 
+def test_distinct_codes_need_no_shuffle_of_their_own(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 40).alias("k"),  # a third of all rows on one key
+        F.when(F.col("id") % 5 != 0, (F.col("id") % 11).cast("double")).alias("v"))
+    odd = spark.createDataFrame([(50, 0.0), (50, -0.0), (51, None), (None, 1.0)], "k long, v double")
+    rows = rows.union(odd).repartition(6)
+    spec = {"v": ("nunique", "max")}
+    plain = Rollup("T", spec, gather=False).apply(rows, "k")
+    expected = sorted(map(str, plain.collect()))
+    for gather, shuffles in ((False, 1), (True, 2)):
+        coded = Rollup("T", spec, codes=("v",), gather=gather).apply(rows, "k")
+        plan = coded._jdf.queryExecution().executedPlan().toString()
+        # one for the repartition above; a gathering one moves rows, the last a row per key
+        assert plan.count("Exchange") == shuffles + 1
+        assert sorted(map(str, coded.collect())) == expected
+    got = {r.k: r.T_v_NUNIQUE for r in coded.collect()}
+    assert (got[7], got[50], got[51]) == (11, 1, 0)
+
+
 def test_json_requests_with_foreign_names(spark):
     from creditmill.contract import schema as S
     from creditmill.operators import validate as V
