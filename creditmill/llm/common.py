@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,23 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
     return left.join(right.hint("merge") if merge else right, [*keys, piece]).drop(piece)
 
 
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``rows``, written, with ``name``: 0, 1, 2 ... by the columns ``order``, which must tell all rows apart.
+
+    Range partitioning gives each task a stretch of the order, so one key may hold any share of the rows. What comes to
+    the driver and is broadcast is a row count for each task. ``rows`` should be a written table, as it is sampled first.
+    """
+    at, part, start = (fresh(rows, f"{name}_{k}") for k in ("at", "part", "start"))
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = written(sorted_rows.withColumn(at, F.monotonically_increasing_id()), "ordered").withColumn(
+        part, F.shiftrightunsigned(at, 33))  # the task; the lower bits count its rows
+    sizes = sorted(map(tuple, kept.groupBy(part).count().collect()))
+    starts = accumulate([n for _, n in sizes], initial=0)
+    before = rows.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], f"{part} long, {start} long")
+    return kept.join(F.broadcast(before), part).withColumn(
+        name, F.col(start) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, part, start)
+
+
 def _slot(keys: Sequence[str], bits: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
 

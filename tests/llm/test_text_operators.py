@@ -25,7 +25,7 @@ from creditmill.llm import (
     substring_dedup,
     url_filter,
 )
-from creditmill.llm.common import bit_map, components, fresh, spread_join, with_maybe, without, written
+from creditmill.llm.common import bit_map, components, fresh, numbered, spread_join, with_maybe, without, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, row long, h long, t string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -593,3 +593,85 @@ def test_conversations(spark, monkeypatch):
         assert [(r.text, r.reply_to) for r in got if r.conv_id is None] == [("hi", None)]
         assert len(got) == len(rows)
     assert chat.conversations(frame.limit(0)).count() == 0
+
+
+def plain(text):
+    return re.sub(r"[^\w]+|_+", " ", text.lower()).strip()
+
+
+def units(text):
+    every = [text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")]
+    return [u for u in dict.fromkeys(map(plain, every)) if u]
+
+
+def replies_by_hand(texts):
+    """(reply_to, place) of each message of one conversation, messages counted from 1."""
+    parsed = [chat.parse(t) for t in texts]
+    answers = []
+    for here, (_, quotes) in enumerate(parsed):
+        found = []
+        for level, passage in quotes:
+            for unit in units(passage):
+                earlier = [k + 1 for k in range(here) if unit in units(parsed[k][0])]
+                if earlier:
+                    found.append((level, -earlier[-1]))
+                    break
+        answers.append(-min(found)[1] if found else (here or None))
+    children = defaultdict(list)
+    for here, to in enumerate(answers, 1):
+        children[to].append(here)
+    place, out, stack = {}, 0, [1]
+    while stack:  # the message after, if it answers this one, comes before the other answers of its whole run
+        run = [stack.pop()]
+        while run[-1] + 1 in children[run[-1]]:
+            run.append(run[-1] + 1)
+        for here in run:
+            out += 1
+            place[here] = out
+        waiting = sorted((-m, c) for m in run for c in children[m] if c != m + 1)
+        stack += [c for _, c in reversed(waiting)]
+    return [(to, place[here]) for here, to in enumerate(answers, 1)]
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_conversations_by_brute_force(spark, monkeypatch, block):
+    rng, rows, want = random.Random(8), [], {}
+    lines = [f"line {w} of the talk" for w in "one two three four five six seven eight nine ten eleven".split()]
+    for conv in [None, 0, -(1 << 62), *range(1, 9)]:
+        size, texts = rng.choice([1, 2, 30, 60]) if conv != 1 else 150, []
+        for k in range(size):
+            text = "\n".join(rng.sample(lines, rng.randint(1, 3))) + (f"\n\nnumber {k}" if rng.random() < 0.7 else "")
+            if k and rng.random() < 0.6:  # conversation 1: nearly all answer its first message
+                quoted = texts[0 if conv == 1 and rng.random() < 0.8 else rng.randrange(k)]
+                quoted = quoted if rng.random() < 0.7 else rng.choice(quoted.split("\n"))
+                text = "\n".join("> " + line for line in quoted.split("\n")) + "\n" + text
+            texts.append(text)
+        rows += [(conv, 3 * k, "user", t) for k, t in enumerate(texts)]
+        want[conv] = replies_by_hand(texts)
+    monkeypatch.setattr(chat, "BLOCK", block)
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = defaultdict(list)
+    for r in chat.conversations(frame).collect():
+        got[r.conv_id].append((r.pos, r.turn, r.reply_to, r.place))
+    for conv, expected in want.items():
+        assert [(p, 3 * (p - 1), *e) for p, e in enumerate(expected, 1)] == sorted(got[conv]), conv
+
+
+def test_one_conversation_of_equal_turns_and_a_long_thread(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 16)
+    n = 700  # each quotes the message before the last, so branches hang on branches
+    rows = [(1, k, "user", f"> said {k - 2} then\nsaid {k} then" if k > 1 else f"said {k} then") for k in range(n)]
+    rows += [(None, None, "user", f"hello {k % 50} there") for k in range(n)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = chat.conversations(frame).collect()
+    first = sorted((r.pos, r.reply_to, r.place) for r in got if r.conv_id == 1)
+    assert [(to, place) for _, to, place in first] == replies_by_hand([t for c, _, _, t in rows if c == 1])
+    loose = [r for r in got if r.conv_id is None]
+    assert sorted(r.pos for r in loose) == sorted(r.place for r in loose) == list(range(1, n + 1))
+
+
+def test_numbers_follow_the_order_across_tasks(spark):
+    rows = written(spark.range(5000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 7).alias("k"), "id"), "t")
+    got = numbered(rows.repartition(5), ["k", "id"], "nr").collect()
+    assert [r.nr for r in sorted(got, key=lambda r: (r.k, r.id))] == list(range(5000))
+    assert numbered(rows.limit(0), ["k", "id"], "nr").count() == 0
