@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import numbered, spread_join, text_of, written
+from creditmill.llm.common import kept_alone, numbered, spread_join, text_of, written
 
 #: Positions of a conversation that are walked together; a longer conversation is walked in such blocks.
 BLOCK = 1024
@@ -52,10 +52,10 @@ def _numbered(messages: DataFrame) -> DataFrame:
 
     All messages are numbered by range partitions, so a conversation, or the messages without one, may hold any share of them.
     """
-    ordered = numbered(messages, [*CONV, "turn", "tie", "mid"], "nr")
+    ordered = numbered(messages.select(*CONV, "turn", "tie", "mid"), [*CONV, "turn", "tie", "mid"], "nr")
     groups = written(ordered.groupBy(*CONV).agg(F.min("nr").alias("first"), F.count("*").alias("n")), "conversations")
-    return spread_join(ordered, groups, CONV, "n", ["nr"]).withColumn(
-        "pos", F.col("nr") - F.col("first") + 1).drop("nr", "first", "tie", "mid")
+    places = spread_join(ordered, groups, CONV, "n", ["nr"]).select("mid", (F.col("nr") - F.col("first") + 1).alias("pos"))
+    return messages.join(places.hint("merge"), "mid").drop("tie", "mid")
 
 
 def link(parsed: DataFrame) -> DataFrame:
@@ -86,6 +86,15 @@ def link(parsed: DataFrame) -> DataFrame:
         *CONV, "pos", "level", (-F.col("m.col2")).alias("source"))
 
 
+def _answered(parsed: DataFrame) -> DataFrame:
+    """(conv, pos, reply_to, starts): the message each one answers, and whether that is not the message before."""
+    best = link(parsed).groupBy(*CONV, "pos").agg(F.min(F.struct("level", -F.col("source"))).alias("m")).select(
+        *CONV, "pos", (-F.col("m.col2")).alias("quoted"))
+    answered = parsed.select(*CONV, "pos").join(written(best, "answers"), [*CONV, "pos"], "left").select(
+        *CONV, "pos", F.coalesce("quoted", F.when(F.col("pos") > 1, F.col("pos") - 1)).alias("reply_to"))
+    return answered.withColumn("starts", (F.col("pos") == 1) | (F.col("reply_to") != F.col("pos") - 1))
+
+
 def _with_branches(answered: DataFrame) -> DataFrame:
     """Adds branch, the start of the run of messages, each answering the one before, that holds the message.
 
@@ -180,18 +189,14 @@ def conversations(messages: DataFrame) -> DataFrame:
                            F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"),
                            text_of().alias("t"))
     base = base.withColumns({"p": parts("t"), "tie": F.xxhash64("role", "t")})
-    base = written(base.select(*CONV, "turn", "role", "tie", F.col("p.own").alias("own"), F.col("p.quotes").alias("quotes"),
-                               F.monotonically_increasing_id().alias("mid")), "parsed")
-    parsed = written(_numbered(base), "messages")
-    best = link(parsed).groupBy(*CONV, "pos").agg(F.min(F.struct("level", -F.col("source"))).alias("m")).select(
-        *CONV, "pos", (-F.col("m.col2")).alias("quoted"))
-    answered = parsed.select(*CONV, "pos").join(written(best, "answers"), [*CONV, "pos"], "left").select(
-        *CONV, "pos", F.coalesce("quoted", F.when(F.col("pos") > 1, F.col("pos") - 1)).alias("reply_to"))
-    answered = answered.withColumn("starts", (F.col("pos") == 1) | (F.col("reply_to") != F.col("pos") - 1))
-    owned = written(_with_branches(answered), "owners")
+    base = base.select(*CONV, "turn", "role", "tie", F.col("p.own").alias("own"), F.col("p.quotes").alias("quotes"),
+                       F.monotonically_increasing_id().alias("mid"))
+    spark = messages.sparkSession
+    parsed = kept_alone(spark, "messages", lambda: _numbered(written(base, "parsed")))
+    owned = kept_alone(spark, "owners", lambda: _with_branches(_answered(parsed)))
     lengths = owned.groupBy(*CONV, "branch").agg(F.count("*").alias("n"))
-    branches = written(_parents(owned).join(lengths, [*CONV, "branch"]), "lengths")
-    first = written(_before(branches), "before")
+    first = kept_alone(spark, "before", lambda: _before(
+        written(_parents(owned).join(lengths, [*CONV, "branch"]), "lengths")))
     placed = spread_join(owned, first, [*CONV, "branch"], "n", ["pos"]).select(
         *CONV, "pos", "reply_to", (F.col("before") + F.col("pos") - F.col("branch") + 1).alias("place"))
     start, middle, end = TEMPLATE

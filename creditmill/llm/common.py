@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditmill.session import cut_lineage
+from creditmill.session import cut_lineage, new_table_path, passing_tables
 
 #: A word is a run of anything but these six blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +41,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, f"llm-{name}")
 
 
+def kept_alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives, written; tables written on the way are deleted once it is there."""
+    path = new_table_path(spark, f"llm-{name}")
+    with passing_tables(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame, keep: Sequence[str], columns: dict[str, Column]) -> DataFrame:
     """``keep`` and ``columns``, computed once per row whatever is done with them later.
 
