@@ -1,6 +1,6 @@
 """Repeated token windows by Rabin-Karp hashes, merged into maximal intervals to remove.
 
-Documents are dealt into blocks of successive doc_ids. A block computes the hash of every window; of equal windows
+Documents are dealt into blocks of successive doc_ids, cut by their bytes. A block computes the hash of every window; of equal windows
 inside a block only those of the first document go on, the others are repeats already. What goes on is counted by hash,
 packed as arrays: a window repeats if an earlier block has its hash. The answer goes back to the block, which merges
 repeated windows into intervals. The shuffle of the documents into blocks serves both passes.
@@ -14,16 +14,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditmill.llm.common import text_of
+from creditmill.llm.common import WORD, text_of, written
 
 WINDOW = 13
-#: Documents of a block, and bytes of text whose windows share a bucket of hashes. On a large cluster with executors of
+#: Bytes of text of a block, and bytes of text whose windows share a bucket of hashes. On a large cluster with executors of
 #: several GB, raise both: a block and a bucket pair up in one row, so fewer and larger ones move in longer rows.
-BLOCK_DOCS = 4096
+BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
+#: Bytes of text for a task; there are never fewer tasks than Spark's own number.
+TASK_BYTES = 16 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _KEPT_BYTES = 7  # of a hash; the bucket holds the leading byte or more
 _WORDS_KNOWN = 500_000
@@ -61,9 +63,9 @@ def window_hashes(words: list[bytes], window: int = WINDOW) -> np.ndarray:
 
 
 def _documents(block: pa.Table) -> list[tuple]:
-    """(row, words) in the order that both passes use; a block of rows without doc_id stays in any order."""
+    """(row, words) in the order that both passes use."""
     ids, texts = block.column("doc_id").to_pylist(), block.column("t").to_pylist()
-    order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k]))
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
     return [(ids[k], texts[k].encode("utf-8", "surrogatepass").split()) for k in order]
 
 
@@ -79,58 +81,60 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _forward(block: pa.Table, window: int, buckets: int) -> pa.Table:
-    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("at", pa.binary()),
+    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("piece", pa.int64()), ("hashes", pa.binary()), ("at", pa.binary()),
                         ("known", pa.binary())])
-    number = block.column("block")[0].as_py()
+    number, piece = block.column("block")[0].as_py(), block.column("piece")[0].as_py()
     out = {name: [] for name in schema.names}
-    if number >= 0:
-        hashed, owners, rank, last = [], [], -1, object()
-        for doc_id, words in _documents(block):
-            rank, last = (rank, last) if doc_id == last else (rank + 1, doc_id)
-            hashed.append(window_hashes(words, window))
-            owners.append(np.full(len(hashed[-1]), rank, dtype=np.int32))
-        hashes, owners = np.concatenate(hashed), np.concatenate(owners)
-        order = np.argsort(hashes, kind="stable")  # equal hashes in document order
-        starts = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order][:1])) if len(order) else order
-        first = np.repeat(owners[order][starts], np.diff(np.append(starts, len(order))))
-        repeated = np.zeros(len(hashes), dtype=bool)
-        repeated[order] = owners[order] > first
-        bucket = (hashes >> np.uint64(64 - int(math.log2(buckets)))).astype(np.uint32)
-        by_bucket = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-        edges = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)):
-            at = by_bucket[edges[b]:edges[b + 1]]
-            onward, known = at[~repeated[at]], at[repeated[at]]
-            kept = hashes[onward].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEPT_BYTES]
-            for name, value in zip(schema.names, (int(b), number, kept.tobytes(), _pack(onward), _pack(known))):
-                out[name].append(value)
+    hashed, owners, rank, last = [], [], -1, object()
+    for doc_id, words in _documents(block):
+        rank, last = (rank, last) if doc_id == last else (rank + 1, doc_id)
+        hashed.append(window_hashes(words, window))
+        owners.append(np.full(len(hashed[-1]), rank, dtype=np.int32))
+    hashes, owners = np.concatenate(hashed), np.concatenate(owners)
+    order = np.argsort(hashes, kind="stable")  # equal hashes in document order
+    starts = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order][:1])) if len(order) else order
+    first = np.repeat(owners[order][starts], np.diff(np.append(starts, len(order))))
+    repeated = np.zeros(len(hashes), dtype=bool)
+    repeated[order] = owners[order] > first
+    bucket = (hashes >> np.uint64(64 - int(math.log2(buckets)))).astype(np.uint32)
+    by_bucket = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    edges = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edges)):
+        at = by_bucket[edges[b]:edges[b + 1]]
+        onward, known = at[~repeated[at]], at[repeated[at]]
+        kept = hashes[onward].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEPT_BYTES]
+        for name, value in zip(schema.names, (int(b), number, piece, kept.tobytes(), _pack(onward), _pack(known))):
+            out[name].append(value)
     return pa.table(out, schema=schema)
 
 
 def _answer(bucket: pa.Table) -> pa.Table:
-    """For each block, the ordinals of its windows that an earlier document has."""
-    blocks = bucket.column("block").to_pylist()
-    hashes, owners, at = [], [], []
-    for number, data, ordinals in zip(blocks, bucket.column("hashes").to_pylist(), bucket.column("at").to_pylist()):
+    """For each piece of a block, the ordinals of its windows that an earlier document, so an earlier block, has."""
+    blocks, pieces = bucket.column("block").to_pylist(), bucket.column("piece").to_pylist()
+    hashes, owners, rows, at = [], [], [], []
+    for row, (number, data, ordinals) in enumerate(
+            zip(blocks, bucket.column("hashes").to_pylist(), bucket.column("at").to_pylist())):
         wide = np.zeros((len(data) // _KEPT_BYTES, 8), dtype=np.uint8)
         wide[:, :_KEPT_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _KEPT_BYTES)
         hashes.append(wide.view("<u8").ravel())
         owners.append(np.full(len(wide), number, dtype=np.int64))
+        rows.append(np.full(len(wide), row, dtype=np.int64))
         at.append(_unpack(ordinals))
-    hashes, owners, at = np.concatenate(hashes), np.concatenate(owners), np.concatenate(at)
+    hashes, owners, rows, at = map(np.concatenate, (hashes, owners, rows, at))
     order = np.argsort(hashes)
-    hashes, owners, at = hashes[order], owners[order], at[order]
+    hashes, owners, rows, at = hashes[order], owners[order], rows[order], at[order]
     if len(hashes):
         starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         first = np.repeat(np.minimum.reduceat(owners, starts), np.diff(np.append(starts, len(hashes))))
-        owners, at = owners[owners > first], at[owners > first]
-    found = {number: [_unpack(data)] for number, data in zip(blocks, bucket.column("known").to_pylist()) if len(data) > 1}
-    order = np.argsort(owners, kind="stable")
-    owners, at = owners[order], at[order]
-    for piece in np.split(np.arange(len(owners)), np.flatnonzero(np.diff(owners)) + 1):
-        if len(piece):
-            found.setdefault(int(owners[piece[0]]), []).append(at[piece])
-    return pa.table({"block": pa.array(list(found), pa.int64()),
+        rows, at = rows[owners > first], at[owners > first]
+    found = {row: [_unpack(data)] for row, data in enumerate(bucket.column("known").to_pylist()) if len(data) > 1}
+    order = np.argsort(rows, kind="stable")
+    rows, at = rows[order], at[order]
+    for run in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows)) + 1):
+        if len(run):
+            found.setdefault(int(rows[run[0]]), []).append(at[run])
+    return pa.table({"block": pa.array([blocks[r] for r in found], pa.int64()),
+                     "piece": pa.array([pieces[r] for r in found], pa.int64()),
                      "at": pa.array([_pack(np.sort(np.concatenate(v))) for v in found.values()], pa.binary())})
 
 
@@ -141,7 +145,7 @@ def _remove(block: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     repeated = np.sort(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
     before = 0
     for doc_id, words in documents:
-        windows = max(0, len(words) - window + 1) if block.column("block")[0].as_py() >= 0 else 0
+        windows = max(0, len(words) - window + 1)
         low, high = np.searchsorted(repeated, [before, before + windows])
         starts = repeated[low:high] - before
         before += windows
@@ -163,40 +167,69 @@ def _remove(block: pa.Table, answers: pa.Table, window: int) -> pa.Table:
                      pa.array(out["removed"], span), pa.array(out["kept_text"], pa.binary())], names=list(out))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, block_docs: int = BLOCK_DOCS,
-                   bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _cuts(sizes: DataFrame, block_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first doc_id of each block, doc_ids with more bytes than a block, their numbers of pieces).
+
+    ``sizes`` (doc_id, bytes) is cut inside range partitions. What comes to the driver are at most three numbers for
+    ``block_bytes`` bytes of the corpus, and one for each partition.
+    """
+    ranged = written(sizes.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "ranged")
+    so_far = F.sum("bytes").over(Window.partitionBy("part").orderBy("doc_id")) - F.col("bytes")
+    cut = ranged.withColumn("nth", F.floor(so_far / F.lit(block_bytes)))
+    starts = [r["first"] for r in cut.groupBy("part", "nth").agg(F.min("doc_id").alias("first")).select("first").collect()]
+    large = sorted(map(tuple, sizes.where(F.col("bytes") > block_bytes).select(
+        "doc_id", F.ceil(F.col("bytes") / F.lit(block_bytes)).cast("long")).collect()))
+    ids, pieces = (np.array([r[k] for r in large], dtype=np.int64) for k in (0, 1))
+    after = ids[ids < np.iinfo(np.int64).max] + 1  # such a doc_id has its block to itself
+    return np.unique(np.concatenate([np.array(starts, dtype=np.int64), ids, after])), ids, pieces
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+                   bucket_bytes: int = BUCKET_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """doc_id, n_words, removed (array of word intervals), kept_text (UTF-8 bytes), one row per input row.
 
     A word goes if a window over it also starts in a document with a smaller doc_id. Rows with equal doc_id do not
     count as repeats of each other; a row without doc_id is neither compared nor cut. A missing or empty text, or one
     shorter than a window, stays as it is. An empty table gives no rows. Windows are equal when 64-bit hashes are.
+
+    A doc_id whose rows have more bytes than a block is a block of its own and is handled in pieces, by a hash of the
+    text. One text is never divided.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
-    n, size = rows.agg(F.count("doc_id"), F.sum(F.octet_length("t"))).first()
-    blocks = max(1, -(-n // block_docs))
-    cuts = []
-    if blocks > 1:
-        shares = ", ".join(f"{k / blocks:.9f}D" for k in range(1, blocks))
-        cuts = rows.selectExpr(f"percentile_approx(doc_id, array({shares}), {max(10_000, 10 * blocks)}) AS c").first().c
-    cuts = np.unique(np.array(cuts, dtype=np.int64))
-    buckets = 1 << max(8, math.ceil(math.log2(max(1, (size or 0) / bucket_bytes))))
-
-    @F.pandas_udf("bigint")
-    def block_of(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, doc_id.to_numpy(dtype=np.int64), side="left"))
-
-    spread = -1 - F.pmod(F.xxhash64("t"), F.lit(blocks))  # rows without doc_id, in blocks of their own
-    numbered = rows.withColumn("block", F.when(F.col("doc_id").isNull(), spread).otherwise(
-        block_of(F.coalesce("doc_id", F.lit(0).cast("long")))))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = numbered.repartition(tasks, "block")
-    sent = dealt.groupBy("block").applyInArrow(
-        lambda t: _forward(t, window, buckets), "bucket long, block long, hashes binary, at binary, known binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "block long, at binary")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    known = rows.where("doc_id IS NOT NULL")
+    sizes = written(known.groupBy("doc_id").agg(F.sum(F.octet_length("t")).alias("bytes")), "sizes")
+    size = sizes.agg(F.sum("bytes")).first()[0] or 0
+    starts, large, pieces = _cuts(sizes, block_bytes)
+    buckets = 1 << max(8, math.ceil(math.log2(max(1, size / bucket_bytes))))
+
+    @F.pandas_udf("block bigint, pieces bigint")
+    def place_of(doc_id: pd.Series) -> pd.DataFrame:
+        ids = doc_id.to_numpy(dtype=np.int64)
+        at = np.searchsorted(large, ids)
+        divided = at < len(large)
+        divided[divided] = large[at[divided]] == ids[divided]
+        parts = np.ones(len(ids), dtype=np.int64)
+        parts[divided] = pieces[at[divided]]
+        return pd.DataFrame({"block": np.searchsorted(starts, ids, side="right"), "pieces": parts})
+
+    placed = known.withColumn("place", place_of("doc_id")).select(
+        "doc_id", "t", F.col("place.block").alias("block"), F.pmod(F.xxhash64("t"), F.col("place.pieces")).alias("piece"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes), 1)
+    dealt = placed.repartition(tasks, "block", "piece")
+    sent = dealt.groupBy("block", "piece").applyInArrow(
+        lambda t: _forward(t, window, buckets),
+        "bucket long, block long, piece long, hashes binary, at binary, known binary").repartition(tasks, "bucket")
+    answers = sent.groupBy("bucket").applyInArrow(_answer, "block long, piece long, at binary")
+    cut = dealt.groupBy("block", "piece").cogroup(answers.groupBy("block", "piece")).applyInArrow(
         lambda left, right: _remove(left, right, window),
         "doc_id long, n_words long, removed array<struct<start:long,end:long>>, kept_text binary")
+    words = F.regexp_extract_all("t", F.lit(WORD), F.lit(0))
+    loose = rows.where("doc_id IS NULL").select(
+        "doc_id", F.size(words).cast("long").alias("n_words"),
+        F.array().cast("array<struct<start:long,end:long>>").alias("removed"),
+        F.encode(F.array_join(words, " "), "UTF-8").alias("kept_text"))
+    return cut.unionByName(loose)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -336,8 +336,8 @@ def test_licence_sentences_with_marks_inside(spark):
 
 # -- repeated windows ------------------------------------------------------------------------------------------------
 
-def test_substring_digest(docs, empty):
-    rows = [(d, t) for d, t, _ in TEXTS]
+def repeats_by_hand(rows):
+    """Digest rows of (doc_id, text): doc_id, words, words removed, hash of what is kept."""
     first = {}
     for d, t in rows:
         words = words_of(t)
@@ -350,8 +350,13 @@ def test_substring_digest(docs, empty):
         words = words_of(t)
         gone = {i + k for i in range(len(words) - 12) if d is not None and first[tuple(words[i:i + 13])] < d for k in range(13)}
         want[(d, len(words), len(gone), sha(" ".join(w for i, w in enumerate(words) if i not in gone)))] += 1
+    return want
+
+
+def test_substring_digest(docs, empty):
+    want = repeats_by_hand([(d, t) for d, t, _ in TEXTS])
     assert counted(substring_dedup.digest(docs).collect()) == want
-    small = substring_dedup.remove_repeats(docs, block_docs=2, bucket_bytes=64)
+    small = substring_dedup.remove_repeats(docs, block_bytes=2000, bucket_bytes=64, task_bytes=10_000)
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     assert counted(small.select("doc_id", "n_words", gone, F.sha2("kept_text", 256)).collect()) == want
     for r in small.collect():
@@ -359,6 +364,24 @@ def test_substring_digest(docs, empty):
     assert substring_dedup.digest(empty).count() == 0
 
 
+def test_substring_blocks_by_bytes_and_a_hot_id(spark):
+    rng = random.Random(5)
+    passages = [" ".join(f"w{rng.randrange(300)}" for _ in range(20)) for _ in range(12)]
+    ids = [7] * 120 + [None] * 40 + list(range(-60, 140)) + [(1 << 63) - 1, -(1 << 63)]  # a third of all rows have id 7
+    rows = [(d, " ".join(rng.choice(passages) if rng.random() < 0.3 else f"only{rng.randrange(10**9)}" for _ in range(6)))
+            for d in ids]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    want = repeats_by_hand(rows)
+    for block_bytes in (1 << 20, 700, 150):
+        got = substring_dedup.remove_repeats(frame, block_bytes=block_bytes, bucket_bytes=300, task_bytes=4000)
+        assert counted(got.select("doc_id", "n_words", gone, F.sha2("kept_text", 256)).collect()) == want
+    sizes = written(frame.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes")), "s")
+    starts, large, pieces = substring_dedup._cuts(sizes, 1500)
+    assert large.tolist() == [7] and {7, 8} <= set(starts.tolist())
+    assert (pieces[0] - 1) * 1500 < sum(len(t) for d, t in rows if d == 7) <= pieces[0] * 1500
+
+
 def test_substring_ordinals_round_trip():
     for values in ([], [0], [5, 6, 70_000, 9_000_000]):
         assert substring_dedup._unpack(substring_dedup._pack(np.array(values, dtype=np.int64))).tolist() == values
