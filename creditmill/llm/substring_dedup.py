@@ -24,8 +24,6 @@ WINDOW = 13
 #: several GB, raise both: a block and a bucket pair up in one row, so fewer and larger ones move in longer rows.
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
-#: Bytes of text for a task; there are never fewer tasks than Spark's own number.
-TASK_BYTES = 16 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _KEPT_BYTES = 7  # of a hash; the bucket holds the leading byte or more
 _WORDS_KNOWN = 500_000
@@ -185,7 +183,7 @@ def _cuts(sizes: DataFrame, block_bytes: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
-                   bucket_bytes: int = BUCKET_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+                   bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, removed (array of word intervals), kept_text (UTF-8 bytes), one row per input row.
 
     A word goes if a window over it also starts in a document with a smaller doc_id. Rows with equal doc_id do not
@@ -193,7 +191,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     shorter than a window, stays as it is. An empty table gives no rows. Windows are equal when 64-bit hashes are.
 
     A doc_id whose rows have more bytes than a block is a block of its own and is handled in pieces, by a hash of the
-    text. One text is never divided.
+    text. One text is never divided. There are two tasks for each piece, so that few meet others by chance, and at
+    least as many as Spark is set to.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
@@ -215,7 +214,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
 
     placed = known.withColumn("place", place_of("doc_id")).select(
         "doc_id", "t", F.col("place.block").alias("block"), F.pmod(F.xxhash64("t"), F.col("place.pieces")).alias("piece"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes), 1)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * (len(starts) + int(pieces.sum())))
     dealt = placed.repartition(tasks, "block", "piece")
     sent = dealt.groupBy("block", "piece").applyInArrow(
         lambda t: _forward(t, window, buckets),

@@ -356,7 +356,7 @@ def repeats_by_hand(rows):
 def test_substring_digest(docs, empty):
     want = repeats_by_hand([(d, t) for d, t, _ in TEXTS])
     assert counted(substring_dedup.digest(docs).collect()) == want
-    small = substring_dedup.remove_repeats(docs, block_bytes=2000, bucket_bytes=64, task_bytes=10_000)
+    small = substring_dedup.remove_repeats(docs, block_bytes=2000, bucket_bytes=64)
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     assert counted(small.select("doc_id", "n_words", gone, F.sha2("kept_text", 256)).collect()) == want
     for r in small.collect():
@@ -374,7 +374,7 @@ def test_substring_blocks_by_bytes_and_a_hot_id(spark):
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     want = repeats_by_hand(rows)
     for block_bytes in (1 << 20, 700, 150):
-        got = substring_dedup.remove_repeats(frame, block_bytes=block_bytes, bucket_bytes=300, task_bytes=4000)
+        got = substring_dedup.remove_repeats(frame, block_bytes=block_bytes, bucket_bytes=300)
         assert counted(got.select("doc_id", "n_words", gone, F.sha2("kept_text", 256)).collect()) == want
     sizes = written(frame.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes")), "s")
     starts, large, pieces = substring_dedup._cuts(sizes, 1500)
