@@ -2,10 +2,12 @@
 
 import datetime as dt
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from creditmill.checks.roles import child_tables
 from creditmill.contract import schema as S
 from creditmill.contract.schema import KEY
 from creditmill.operators.align import filled_columns
@@ -280,6 +282,48 @@ def test_store_scans_each_table_once_and_merges_without_shuffle(spark, tmp_path)
     assert "Exchange" not in plan[:plan.index("Union")]
 
 
+def test_history_in_buckets_is_rolled_up_where_it_lies(spark):
+    rows = spark.range(4000).selectExpr(f"id % 37 AS {KEY}", "CAST(id % 11 AS DOUBLE) AS v")
+    name = "history_" + uuid.uuid4().hex
+    T.save_bucketed(rows, name, 5, path=new_table_path(spark, name))
+    specs = [Rollup(n, numeric={"v": ("max", "var", "size")}) for n in "ab"]
+    store = FST.merge_families([s.apply(spark.table(name), KEY, 5) for s in specs])
+    assert "Exchange" not in store._jdf.queryExecution().executedPlan().toString()
+    kept = []
+    for family in (s.apply(spark.table(name), KEY, 5) for s in [*specs, Rollup("c", numeric={"v": ("min",)})]):
+        kept.append("family_" + uuid.uuid4().hex)
+        T.save_bucketed(family, kept[-1], 5, path=new_table_path(spark, kept[-1]))
+    saved = FST.full_outer_store([spark.table(n) for n in kept])
+    assert "Exchange" not in saved._jdf.queryExecution().executedPlan().toString()
+    assert saved.select(KEY, "c_v_MIN").count() == 37
+    plain = FST.merge_families([s.apply(rows, KEY) for s in specs])
+    for ours, theirs in zip(sorted(map(tuple, store.collect())), sorted(map(tuple, plain.collect())), strict=True):
+        assert ours == pytest.approx(theirs)
+
+
+def test_a_large_client_is_not_put_into_one_bucket(spark, monkeypatch):
+    rows = spark.range(30000).selectExpr("if(id % 3 = 0, 7, id) AS k").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    assert T.buckets_by(rows, "k") == (T.LEAST_BUCKETS, True)  # a task takes 10 000 rows
+    monkeypatch.setattr(T, "LARGE_KEY_ROWS", 100)
+    assert T.buckets_by(rows, "k") == (T.LEAST_BUCKETS, False)
+    assert T.buckets_by(rows.where("k <> 7"), "k") == (T.LEAST_BUCKETS, True)
+    assert T.buckets_by(rows.limit(0), "k") == (T.LEAST_BUCKETS, True)
+    monkeypatch.setattr(T, "KEYS_PER_BUCKET", 1000)
+    assert T.buckets_by(rows, "k")[0] == 20
+
+
+def test_child_tables_give_the_same_families_either_way(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    placed = child_tables(spark, folder)
+    monkeypatch.setattr(T, "LARGE_KEY_ROWS", 0)
+    monkeypatch.setattr(T, "LEAST_BUCKETS", 500)
+    split = child_tables(spark, folder)
+    assert placed.family_buckets == 8 and split.family_buckets is None
+    for name, df in split.tables.items():
+        assert df.dtypes == placed.tables[name].dtypes
+        assert df.exceptAll(placed.tables[name]).count() == placed.tables[name].exceptAll(df).count() == 0, name
+
+
 def logged(spark, days):
     """Ten rows a day from 1 January 2024 on, ids 0, 1, ..."""
     at = F.timestamp_add("DAY", (F.col("k") / 10).cast("int"), F.to_timestamp(F.lit("2024-01-01 10:00:00")))
