@@ -118,6 +118,26 @@ def test_exact_ks_p(n, m):
         assert D.exact_ks_p(h / step, n, m) == pytest.approx(brute_ks_p(h / step, n, m), abs=1e-9)
 
 
+@pytest.mark.parametrize("n, h", [(300, 20), (300, 290), (20000, 150), (20000, 2145), (20000, 3700)])
+def test_small_exact_ks_p_keeps_its_digits(n, h):
+    """Equal samples have a closed form, by reflection of paths."""
+    def part(k):
+        return math.exp(2 * math.lgamma(n + 1) - math.lgamma(n - k * h + 1) - math.lgamma(n + k * h + 1))
+    closed = 2 * sum((-1) ** (k + 1) * part(k) for k in range(1, n // h + 1))
+    assert D.exact_ks_p(h / n, n, n) == pytest.approx(closed, rel=1e-8)
+
+
+def test_exact_ks_p_of_unequal_samples_and_far_apart():
+    assert D.exact_ks_p(0.5, 40_000_000, 50_000_000) == 0.0  # no walk
+    for n, m in ((37, 60), (60, 37), (1, 9), (9, 1)):
+        step = n * m // math.gcd(n, m)
+        values = [D.exact_ks_p(h / step, n, m) for h in range(0, step + 1, max(1, step // 40))]
+        assert values[0] == 1.0 and values == sorted(values, reverse=True)
+        assert values == pytest.approx([D.exact_ks_p(h / step, m, n) for h in range(0, step + 1, max(1, step // 40))])
+        # all of one sample before all of the other
+        assert D.exact_ks_p(1.0, n, m) == pytest.approx(2 / math.comb(n + m, n))
+
+
 def test_exact_ks_p_large_agrees_with_limit(spark):
     n, m, d = 3000, 2500, 0.04
     limit = spark.range(1).select(D.ks_p_asymptotic(F.lit(d), F.lit(n), F.lit(m)).alias("p")).first().p
