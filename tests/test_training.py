@@ -49,6 +49,36 @@ def test_medians_match_brute_force(rows):
     assert TR.learn_preparation(rows, FEW).medians == np.nanmedian(table, axis=0).tolist()
 
 
+def test_all_folds_are_prepared_in_one_pass(rows, monkeypatch):
+    placed = TR.in_folds(rows, K, Y, 3)
+    parts = [F.col("fold") != i for i in range(3)] + [F.col(K) < 0]
+    assert TR.learn_preparations(placed, FEW, parts) == [TR.learn_preparation(placed.where(p), FEW) for p in parts]
+    passes, count = [], TR.learn_preparations
+    monkeypatch.setattr(TR, "learn_preparations", lambda *given: passes.append(1) or count(*given))
+    assert TR.out_of_fold(rows, K, Y, FEW, folds=3).count() == rows.count() and len(passes) == 1
+
+
+def test_a_task_of_a_fit_reads_a_bounded_part(spark, rows, monkeypatch):
+    monkeypatch.setattr(TR, "FILE_ROWS", 50)
+    again = TR.matrix(rows.coalesce(1).select(K, *[F.get(TR.VALUES, i).alias(f) for i, f in enumerate(FEW)]), FEW, [K])
+    files = again.inputFiles()
+    assert len(files) == -(-rows.count() // 50)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr(TR, "READ_BYTES", 1 << 20)
+    seen = []
+
+    class Watched(TR.Pipeline):
+        def _fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return super()._fit(df)
+
+    monkeypatch.setattr(TR, "Pipeline", Watched)
+    placed = TR.cut_lineage(rows, "small", 50)
+    TR.fit(placed, FEW, Y, "logistic", settings={"maxIter": 1})
+    assert seen[0] >= len(placed.inputFiles()) >= len(files)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
 def test_saved_model_scores_alike(spark, rows, tmp_path):
     fitted = TR.fit(rows.where("NOT is_test"), FEW, Y, "forest", settings={"numTrees": 5, "maxDepth": 3})
     fitted.save(spark, f"{tmp_path}/m")
