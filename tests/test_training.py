@@ -49,6 +49,23 @@ def test_medians_match_brute_force(rows):
     assert TR.learn_preparation(rows, FEW).medians == np.nanmedian(table, axis=0).tolist()
 
 
+def test_medians_count_only_values_near_the_middle(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    wide = np.column_stack([draw.normal(size=2000), np.exp(draw.normal(0, 40, 2000)), -np.exp(draw.normal(0, 3, 2000)),
+                            draw.integers(0, 2, 2000), draw.choice([-5e-324, 0.0, 5e-324], 2000),
+                            draw.choice([np.inf, -np.inf, 1.0], 2000), 1e6 + draw.random(2000)])
+    names = [f"f{i}" for i in range(wide.shape[1])]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(wide)], ["k", *names])
+    counted, running = [], TR.running_sums
+    monkeypatch.setattr(TR, "running_sums", lambda df, *given: counted.append(
+        {r.pos: r["count"] for r in df.groupBy("pos").count().collect()}) or running(df, *given))
+    table = TR.matrix(df, names, ["k"])
+    found = TR.learn_preparations(table, names, [F.lit(True), F.col("k") < 777])
+    assert [p.medians for p in found] == [np.median(wide[:n], axis=0).tolist() for n in (2000, 777)]
+    # of 2000 different values each; the last feature lies in a single cell
+    assert max(counted[0][i] for i in range(6)) < 200 and counted[0][6] == 2000
+
+
 def test_all_folds_are_prepared_in_one_pass(rows, monkeypatch):
     placed = TR.in_folds(rows, K, Y, 3)
     parts = [F.col("fold") != i for i in range(3)] + [F.col(K) < 0]
