@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import uuid
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,6 +283,22 @@ def test_store_scans_each_table_once_and_merges_without_shuffle(spark, tmp_path)
     assert "Exchange" not in plan[:plan.index("Union")]
 
 
+def test_applications_meet_all_families_in_one_join(spark):
+    from creditmill.checks.roles import child_tables, role
+
+    sf = f"{oracle.TESTDATA}/sf0.001"
+    children = child_tables(spark, sf)
+    made = FST.training_matrix(role(spark, sf, "application"), children.tables, children.family_buckets)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2  # the other one brings the balances to their credits
+
+
+def test_queries_keep_generated_methods_small_enough_to_compile(spark):
+    from creditmill.session import tune
+
+    assert int(tune(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 def test_history_in_buckets_is_rolled_up_where_it_lies(spark):
     rows = spark.range(4000).selectExpr(f"id % 37 AS {KEY}", "CAST(id % 11 AS DOUBLE) AS v")
     name = "history_" + uuid.uuid4().hex
