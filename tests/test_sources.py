@@ -341,6 +341,45 @@ def test_child_tables_give_the_same_families_either_way(spark, monkeypatch):
         assert df.exceptAll(placed.tables[name]).count() == placed.tables[name].exceptAll(df).count() == 0, name
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_balances_are_shuffled_once_for_their_credits(children, no_broadcast):
+    assert exchanges(P.attach_balance(children["bureau"], children["bureau_balance"])) == 2  # each side once
+
+
+@pytest.mark.parametrize("name", ["score_assemble", "reference_rows"])
+def test_requests_move_before_their_columns_are_spread_out(spark, no_broadcast, name):
+    from creditmill.checks import joins
+
+    plan = getattr(joins, name)(spark, f"{oracle.TESTDATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    moved = plan[plan.index("Exchange"):].splitlines()[1]
+    assert "Project" in moved and "more fields" not in moved
+
+
+def test_requests_of_a_large_client_or_of_none_are_not_placed(spark, monkeypatch, tmp_path):
+    from creditmill.checks import roles
+
+    customers = spark.read.parquet(f"{oracle.TESTDATA}/sf0.001/customer.parquet")
+    none = spark.range(20).join(customers.limit(1)).withColumn("c_custkey", F.lit(None).cast("bigint")).drop("id")
+    hot = spark.range(200).join(customers.where("c_custkey = 1")).drop("id")
+    monkeypatch.setattr(roles, "LARGE_KEY_ROWS", 10)
+    monkeypatch.setattr(T, "LARGE_KEY_ROWS", 10)
+    for i, (extra, placed) in enumerate([(none.limit(5), True), (none, False), (hot, False)]):
+        folder = f"{tmp_path}/{i}"
+        customers.unionByName(extra).write.parquet(f"{folder}/customer.parquet")
+        made, plain = roles.placed_role(spark, folder, "request", 8), roles.role(spark, folder, "request")
+        assert (exchanges(made) == 1) == placed
+        assert made.dtypes == plain.dtypes
+        assert made.exceptAll(plain).count() == plain.exceptAll(made).count() == 0
+
+
 def logged(spark, days):
     """Ten rows a day from 1 January 2024 on, ids 0, 1, ..."""
     at = F.timestamp_add("DAY", (F.col("k") / 10).cast("int"), F.to_timestamp(F.lit("2024-01-01 10:00:00")))
