@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import uuid
+from functools import reduce
 
 import oracle
 import pytest
@@ -353,6 +354,54 @@ def test_balances_are_shuffled_once_for_their_credits(children, no_broadcast):
     assert exchanges(P.attach_balance(children["bureau"], children["bureau_balance"])) == 2  # each side once
 
 
+def test_balances_meet_their_credits_where_both_lie(spark, no_broadcast):
+    from creditmill.session import joins_in_place
+
+    placed = child_tables(spark, f"{oracle.TESTDATA}/sf0.001")
+    with joins_in_place(spark):
+        store = FST.feature_store(placed.tables, placed.family_buckets)
+        assert "Exchange" not in store._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_credits_without_id_client_or_balances_and_of_one_id(spark, no_broadcast, tmp_path, twice):
+    from creditmill.checks.roles import role
+    from creditmill.session import joins_in_place
+
+    folder = str(tmp_path)
+    orders = spark.read.parquet(f"{oracle.TESTDATA}/sf0.001/orders.parquet")
+    first = orders.where("o_orderkey < 9")
+    odd = [orders, *[orders.where("o_orderkey IN (1, 2)").withColumn("o_orderkey", F.lit(None).cast("bigint"))] * 2,
+           first.withColumn("o_custkey", F.lit(None).cast("bigint")),  # known credits of no client
+           first.withColumn("o_custkey", F.col("o_custkey") + 1000),  # the same ids at other clients
+           first.withColumn("o_orderkey", F.col("o_orderkey") + 10**9)]  # credits without balances
+    odd += [first.withColumn("o_totalprice", F.col("o_totalprice") + 1)] if twice else []
+    reduce(lambda a, b: a.unionByName(b), odd).write.parquet(f"{folder}/orders.parquet")
+    lines = spark.read.parquet(f"{oracle.TESTDATA}/sf0.001/lineitem.parquet")
+    some = lines.limit(50)
+    (lines.unionByName(some.withColumn("l_orderkey", F.lit(2 * 10**9)))  # balances of unknown credits and of none
+     .unionByName(some.withColumn("l_orderkey", F.lit(None).cast("bigint"))).write.parquet(f"{folder}/lineitem.parquet"))
+    placed = child_tables(spark, folder)
+    assert placed.family_buckets == 8 and (P.CLIENT_BALANCE in placed.tables) != twice
+    with joins_in_place(spark):
+        made = sorted(map(tuple, P.all_families(placed.tables, 8)[0].collect()))
+    plain = P.bureau_family(role(spark, folder, "bureau"), role(spark, folder, "bureau_balance"))
+    assert len(made) > 100
+    for ours, theirs in zip(made, sorted(map(tuple, plain.collect())), strict=True):
+        assert ours == pytest.approx(theirs)
+
+
+def test_joins_in_place_ends_with_its_block(spark):
+    from creditmill.session import joins_in_place
+
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting)
+    with pytest.raises(ValueError), joins_in_place(spark):
+        assert spark.conf.get(setting) == "false"
+        raise ValueError
+    assert spark.conf.get(setting) == before == "true"
+
+
 @pytest.mark.parametrize("name", ["score_assemble", "reference_rows"])
 def test_requests_move_before_their_columns_are_spread_out(spark, no_broadcast, name):
     from creditmill.checks import joins
