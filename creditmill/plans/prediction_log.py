@@ -103,8 +103,17 @@ def recent_probabilities(log: DataFrame, limit: int) -> DataFrame:
 
 
 def current_features(log: DataFrame, limit: int, keep_alive: int = KEEP_ALIVE_CLIENT) -> DataFrame:
-    """Feature objects of the last successful calls, without the client that only keeps the service awake."""
-    return newest(successful(log).where(F.col("sk_id_curr") != keep_alive)).limit(limit).select("id", "features")
+    """Feature objects of the last successful calls, without the client that only keeps the service awake.
+
+    The last calls are found by time and id alone. Sorting calls with their objects would move ``limit`` of them for every
+    task; now only those no older than the last ones are sorted with them.
+    """
+    calls = successful(log).where(F.col("sk_id_curr") != keep_alive)
+    last = newest(calls.select("timestamp", "id")).limit(limit)
+    # calls without a time count as the oldest
+    end = last.agg(F.struct(F.min("timestamp").alias("time"), F.bool_or(F.col("timestamp").isNull()).alias("open"))).scalar()
+    recent_calls = calls.where(end["open"] | (F.col("timestamp") >= end["time"]))
+    return newest(recent_calls).limit(limit).select("id", "features")
 
 
 # --- reports ----------------------------------------------------------------------------------

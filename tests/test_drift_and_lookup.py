@@ -12,6 +12,7 @@ from creditmill.operators import drift as D
 from creditmill.operators import ordered
 from creditmill.operators.lookup import lookup_join, rows_for
 from creditmill.plans import monitoring as MO
+from creditmill.plans import prediction_log as L
 from creditmill.plans import scoring as SC
 from creditmill.session import new_table_path
 from creditmill.sources import tables as T
@@ -79,6 +80,27 @@ def test_frozen_reference_gives_the_same_as_the_rows(spark):
     assert all(got[f].statistic == plain[f].statistic and got[f].score == plain[f].score for f in plain)
 
 
+def test_last_calls_are_found_before_their_features_move(spark, monkeypatch):
+    path = new_table_path(spark, "calls")
+    spark.range(0, 900, 1, 6).selectExpr(
+        "CAST(id AS STRING) AS id", "CASE WHEN id % 90 <> 0 THEN timestamp_seconds(id % 300) END AS timestamp",
+        f"IF(id % 7 = 0, {L.KEEP_ALIVE_CLIENT}, id) AS sk_id_curr", "IF(id % 11 = 0, 500, 200) AS status_code",
+        "concat('{\"a\":', id, '}') AS features").write.parquet(path)
+    calls = spark.read.parquet(path)
+    good = [r for r in calls.collect() if r.status_code == 200 and r.sk_id_curr != L.KEEP_ALIVE_CLIENT]
+    good.sort(key=lambda r: (r.timestamp is None, -r.timestamp.timestamp() if r.timestamp else 0, r.id))
+    sorted_, newest = [], L.newest
+    monkeypatch.setattr(L, "newest", lambda df: sorted_.append((df.columns, df.count())) or newest(df))
+    for limit in (1, 50, len(good) - 2, len(good) + 5):
+        del sorted_[:]
+        got = L.current_features(calls, limit).collect()
+        assert [(r.id, r.features) for r in got] == [(r.id, r.features) for r in good[:limit]]
+        assert sorted_[0] == (["timestamp", "id"], len(good)) and "features" in sorted_[1][0]
+        if limit <= 50:
+            assert sorted_[1][1] <= limit + 2  # those of the oldest time; three calls share one
+    assert L.current_features(calls.where("id < 0"), 5).count() == 0
+
+
 # -- order statistics --------------------------------------------------------------------------------
 
 def test_pieces_follow_the_data(spark):

@@ -497,3 +497,20 @@ def test_evolution_rewrites_the_old_days(spark, tmp_path):
     assert set(stored.columns) == {*S.PREDICTION_LOG.fieldNames(), LS.DAY}
     assert {(r.latency_ms, r.inference_ms) for r in stored.collect()} == {(2, None), (9, None)} and stored.count() == 30
     assert day_files(path)[f"{LS.DAY}=2024-01-03"] == kept
+
+
+def test_log_is_kept_small(spark, tmp_path):
+    """JSON objects with the same names in every row: far less than Snappy makes of them, also after a rewrite."""
+    fields = ", ".join(f"'\"FEATURE_{i}\":', round(rand({i}), 6), ','" for i in range(60))
+    rows = spark.range(0, 2000, 1, 1).selectExpr("CAST(id AS STRING) AS id", "timestamp_seconds(id * 60) AS timestamp",
+                                                 f"concat('{{', {fields}, '}}') AS features")
+    plain, log = f"{tmp_path}/plain", f"{tmp_path}/log"
+    rows.write.option("compression", "snappy").parquet(plain)
+    LS.append_log(rows, log)
+
+    def size(folder):
+        return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+    assert size(tmp_path / "log") < 0.6 * size(tmp_path / "plain")
+    LS.rewrite_days(spark.read.parquet(log), log)
+    assert size(tmp_path / "log") < 0.6 * size(tmp_path / "plain") and spark.read.parquet(log).count() == 2000
