@@ -182,6 +182,18 @@ def test_search_halves_and_goes_on(rows, tmp_path):
     assert TR.search(train, K, Y, FEW, rungs, path=path).collect() == found  # nothing is tried twice
 
 
+def test_the_query_trains_every_trial_in_full(spark, rows, monkeypatch):
+    monkeypatch.setattr(TR, "draw_settings", lambda trials: [
+        {"maxDepth": 2, "maxIter": 2 + i, "stepSize": 0.3} for i in range(min(trials, 3))])
+    asked, draw = [], TR.draw_settings
+    monkeypatch.setattr(TR, "draw_settings", lambda trials: asked.append(trials) or draw(trials))
+    monkeypatch.setattr(M, "training_rows", lambda spark, sf: rows)
+    monkeypatch.setattr(M, "FEATURES", FEW)
+    found = M.param_search(spark, "").collect()
+    assert asked == [100]
+    assert sorted((r.rung, r.trial, r.iterations, r.folds) for r in found) == [(0, i, 2 + i, TR.FOLDS) for i in range(3)]
+
+
 def test_drawn_settings_stay_in_their_ranges():
     drawn = TR.draw_settings(100)
     assert len(drawn) == 100 and drawn[:3] == TR.draw_settings(3)
