@@ -239,6 +239,12 @@ def test_logistic_scores_are_those_of_mllib(rows):
     assert scores_of(got) == pytest.approx(expected, rel=1e-12) and scores_of(got.where("is_test")).items() <= scores_of(got).items()
 
 
+def test_threshold_of_logistic_models_needs_no_fit_by_itself(rows, monkeypatch, tmp_path):
+    monkeypatch.setattr(TR, "fit", lambda *given: pytest.fail("a logistic model was fitted by itself"))
+    made = TR.select_threshold(rows.where("NOT is_test"), rows.where("is_test"), K, Y, FEW, "logistic", 1, f"{tmp_path}/chain")
+    assert 0 < made.threshold < 1 and made.holdout_scores.count() == rows.where("is_test").count()
+
+
 def test_labels_of_one_class_or_none_are_refused(spark, rows):
     prepared = [TR.learn_preparation(rows, FEW)]
     for bad in (rows.where(f"{Y} = 1"), rows.withColumn(Y, F.when(F.col(K) % 2 == 0, F.col(Y)))):
